@@ -1,10 +1,14 @@
 """Training-order materialisation: token sequences in shards of fixed stride, in the order of a keyed permutation.
 
-Each scan partition joins its documents' ids, each ended by ``end_id``, and cuts them into sequences of L ids. The sequences are
-numbered 0..N-1 by partition and place. A keyed Feistel network over the least even number of bits that holds N, walked along its
-cycle until it falls below N, is a permutation of them: sequence i goes to global slot p(i). Slots are dealt to range partitions of
-whole shards, sorted, and written as records of one stride, so slot s lies in shard s // S at byte (s % S) * stride: a reader can
-start anywhere and go on sequentially.
+Each scan partition joins its documents' ids, each ended by ``end_id``, and cuts them into sequences of L ids. Sequence i of
+partition p of P has the number i * P + p, below P * 2**32. A keyed Feistel network over the least even number of bits that holds that
+domain, walked along its cycle until it falls inside, permutes the numbers; the global slot of a sequence is its rank by permuted
+number. The permuted numbers spread evenly, so equal ranges of them are even partitions, and their counts shift local ranks to slots.
+Every slot is written as a record of one stride, so slot s lies in shard s // S at byte (s % S) * stride: a reader can start
+anywhere and go on sequentially. A shard that two partitions share has two files, in the order of their names.
+
+Numbering needs no count beforehand, so the texts are tokenised once and the ids are moved once: the shuffle that the counting job
+makes is what the writing job reads (an RDD, since two jobs on one DataFrame would each make their own).
 
 Record, little-endian: slot u64, sequence u64, ids in it u32, CRC-32 of those ids as u16 u32, L ids of u16 (zeros after the
 last), and the byte 0x0A. Spark's writer commits the shards, so lost tasks leave no part of a shard behind.
@@ -12,7 +16,6 @@ last), and the byte 0x0A. Spark's writer commits the shards, so lost tasks leave
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 
@@ -57,35 +60,32 @@ def permute(x, n: int, key: int, inverse: bool = False) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int, emit, schema: str) -> DataFrame:
-    """``emit`` makes Arrow batches of (partition, local number, first doc_id, ids before it of that document, ids)."""
+def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> DataFrame:
+    """part, local, doc_id, doc_start (ids of that document before the sequence), n_ids, ids_crc32, body (the ids, packed)."""
 
     def run(batches):
+        import pyarrow as pa
+        import zstandard
         from pyspark import TaskContext
 
-        encode, part = _tokens.encoder(vocabulary), TaskContext.get().partitionId()
-        held, first, number = [], [], 0  # ids not cut yet; (place in them, doc_id, ids of the document before)
-        size = 0
+        encode, part, pack = _tokens.encoder(vocabulary), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1).compress
+        held, size, first, local = [], 0, [], 0  # ids not cut yet; (place among them, doc_id, ids before that place) of their documents
 
         def cuts(last: bool):
-            nonlocal held, first, size, number
-            ids = np.concatenate(held) if held else np.zeros(0, np.uint16)
-            at, rows = 0, []
-            places = [p for p, _, _ in first]
+            nonlocal held, size, first, local
+            ids = np.concatenate(held)
+            places, at, rows = [p for p, _, _ in first], 0, []
             while size - at >= length or (last and at < size):
-                k = int(np.searchsorted(places, at, "right")) - 1
-                place, doc, before = first[k]
-                rows.append((part, number, doc, before + at - place, ids[at : at + length]))
-                number += 1
+                place, doc, before = first[int(np.searchsorted(places, at, "right")) - 1]
+                one = ids[at : at + length]
+                rows.append((part, local, doc, before + at - place, len(one), zlib.crc32(one), pack(one.tobytes())))
+                local += 1
                 at += length
-            if at < size:
-                k = int(np.searchsorted(places, at, "right")) - 1
-                place, doc, before = first[k]
-                first = [(0, doc, before + at - place)] + [(p - at, d, b) for p, d, b in first[k + 1 :]]
-            else:
-                first = []
-            held, size = [ids[at:]], size - at
-            return rows
+            k = int(np.searchsorted(places, at, "right")) - 1
+            place, doc, before = first[k]
+            first = [(0, doc, before + at - place)] + [(p - at, d, b) for p, d, b in first[k + 1 :]]
+            held, size = [ids[at:]], max(0, size - at)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 6 + (pa.binary(),), strict=True)], names=["part", "local", "doc_id", "doc_start", "n_ids", "ids_crc32", "body"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), _shared.decoded(batch.column(1)), strict=True):
@@ -94,88 +94,77 @@ def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int, emit,
                 held.append(ids)
                 size += len(ids)
                 if size >= 256 * length:
-                    yield emit(cuts(False))
-        if rows := cuts(True):
-            yield emit(rows)
+                    yield cuts(False)
+        if size:
+            yield cuts(True)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part long, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long, body binary")
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, key: int, vocabulary: str | None = None, end_id: int = 50256, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Writes the shards below ``path`` and returns one row per sequence, by where it went.
 
-    sequence_id, slot, shard, record (its number in the shard), n_ids, ids_crc32, doc_id and doc_start: whose id comes first
-    and how many ids of that document precede it. ``docs`` must give the same partitions each time it is computed, as scans of
-    files do; it is tokenised once to number the sequences and once to write them, which is checked by their counts and CRCs
-    and takes less disk than keeping the ids. Null texts are empty: they give ``end_id`` alone. Repeated rows are written each,
-    a null doc_id stays null, other columns aren't read. An empty table gives no shard. ids must be below 65536.
+    slot, shard, record (its number in the shard), part and local (where the sequence was cut), n_ids, ids_crc32, doc_id and
+    doc_start: whose id comes first and how many ids of that document precede it. Null texts are empty: they give ``end_id`` alone.
+    Repeated rows are written each, a null doc_id stays null, other columns aren't read. An empty table gives no shard. ids must
+    be below 65536.
     """
-    import pyarrow as pa
-
-    vocabulary = vocabulary or _tokens.default_vocabulary()
-
-    def counted(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)] + [pa.array([len(r[4]) for r in rows], pa.int64()), pa.array([zlib.crc32(r[4]) for r in rows], pa.int64())], names=["part", "local", "doc_id", "doc_start", "n_ids", "ids_crc32"])
-
-    index = _shared.table(spark, _sequences(docs, vocabulary, end_id, length, counted, "part int, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long".replace("part int", "part long")), "sequences")
+    rows = _sequences(docs, vocabulary or _tokens.default_vocabulary(), end_id, length).rdd
+    parts = max(1, rows.getNumPartitions())
+    domain = parts << 32
+
+    def keyed(of):
+        of = list(of)
+        places = permute(np.asarray([r[1] * parts + r[0] for r in of], np.uint64), domain, key).tolist()
+        return ((p, tuple(r)) for p, r in zip(places, of, strict=True))
+
+    def in_batches(of):
+        batch = []
+        for r in of:
+            batch.append(r)
+            if len(batch) == 4096:
+                yield from keyed(batch)
+                batch = []
+        yield from keyed(batch)
+
+    ranges = rows.mapPartitions(in_batches).partitionBy(parts, lambda place: place * parts // domain)
+    index = _shared.table(
+        spark,
+        spark.createDataFrame(
+            ranges.mapPartitionsWithIndex(lambda r, of: ((r, i, *x) for i, (_, x) in enumerate(sorted(((p, x[:6]) for p, x in of), key=lambda y: y[0])))),
+            "range long, rank long, part long, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long",
+        ),
+        "sequences",
+    )
     shifts, total = {}, 0
-    for part, n, check in sorted((r[0], r[1], r[2]) for r in index.groupBy("part").agg(F.count(F.lit(1)), F.sum("ids_crc32")).collect()):  # a row per scan partition
-        shifts[part] = (total, n, check)
+    for r, n in sorted((x[0], x[1]) for x in index.groupBy("range").agg(F.count(F.lit(1))).collect()):  # a row per partition
+        shifts[r] = total
         total += n
 
-    def packed(rows):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
-        numbers = np.asarray([shifts[r[0]][0] + r[1] for r in rows], np.int64)
-        bodies = []
-        for number, r in zip(numbers.tolist(), rows, strict=True):
-            bodies.append(pack(struct.pack("<QII", number, len(r[4]), zlib.crc32(r[4])) + r[4].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(permute(numbers, total, key)), pa.array(bodies, pa.binary())], names=["slot", "body"])
-
-    def records(batches):
+    def records(r, of):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            slots, out = batch.column(0).to_pylist(), []
-            for slot, body in zip(slots, batch.column(1).to_pylist(), strict=True):
-                body = unpack(body)
-                number, n, crc = struct.unpack_from("<QII", body)
-                ids = body[16:]
-                if len(ids) != 2 * n or zlib.crc32(ids) != crc:
-                    raise ValueError(f"sequence {number} changed on its way")
-                out.append(struct.pack(HEAD, slot, number, n, crc) + ids.ljust(2 * length, b"\0"))
-            for i in range(0, len(out), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array([s // shard for s in slots[i : i + 1024]], pa.int64()), pa.array(out[i : i + 1024], pa.binary())], names=["shard", "value"])
+        for slot, (_, (part, local, _, _, n, crc, body)) in enumerate(sorted(of, key=lambda y: y[0]), shifts.get(r, 0)):
+            ids = unpack(body)
+            if len(ids) != 2 * n or zlib.crc32(ids) != crc:
+                raise ValueError(f"sequence {local} of partition {part} changed on its way")
+            yield slot // shard, bytearray(struct.pack(HEAD, slot, local * parts + part, n, crc) + ids.ljust(2 * length, b"\0"))
 
     if total:
-        shards = -(-total // shard)
-        parts = max(1, min(shards, -(-total * stride(length) // (64 << 20)), 100_000))
-        dealt = _sequences(docs, vocabulary, end_id, length, packed, "slot long, body binary")
-        # slots are uniform, so equal ranges of whole shards need no sampling pass
-        dealt = dealt.repartition(parts, F.floor(F.col("slot") / F.lit(shard * -(-shards // parts)))).sortWithinPartitions("slot")
-        lines = dealt.mapInArrow(records, "shard long, value binary").select("shard", F.col("value").cast("string").alias("value"))
+        lines = spark.createDataFrame(ranges.mapPartitionsWithIndex(records), "shard long, value binary").select("shard", F.col("value").cast("string").alias("value"))
         lines.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").mode("overwrite").text(path)
-        spark.createDataFrame([(json.dumps({"sequences": total, "length": length, "stride": stride(length), "shard": shard, "key": key}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}-manifest")
-    moved = spark.createDataFrame([(p, s) for p, (s, _, _) in shifts.items()], "part long, shift long")
-
-    @F.pandas_udf("long")
-    def slot_of(number):
-        import pandas as pd
-
-        return pd.Series(permute(number.to_numpy(), total, key))
-
-    out = index.join(F.broadcast(moved), "part").withColumn("sequence_id", F.col("local") + F.col("shift")).withColumn("slot", slot_of("sequence_id"))
-    return out.select("sequence_id", "slot", F.floor(F.col("slot") / shard).cast("long").alias("shard"), (F.col("slot") % shard).alias("record"), "n_ids", "ids_crc32", "doc_id", "doc_start")
+    moved = spark.createDataFrame(list(shifts.items()), "range long, shift long")
+    out = index.join(F.broadcast(moved), "range").withColumn("slot", F.col("rank") + F.col("shift"))
+    return out.select("slot", F.floor(F.col("slot") / shard).cast("long").alias("shard"), (F.col("slot") % shard).alias("record"), "part", "local", "n_ids", "ids_crc32", "doc_id", "doc_start")
 
 
 def read_slots(spark: SparkSession, path: str, start: int, stop: int, length: int = LENGTH, shard: int = SHARD):
-    """(slot, sequence, ids) of the slots start..stop-1 in order, a shard at a time: only the shards that hold them are opened."""
+    """(slot, number, ids) of the slots start..stop-1 in order, a shard at a time: only the shards that hold them are opened."""
     size = stride(length)
     for k in range(start // shard, -(-stop // shard)):
-        rows = spark.read.format("binaryFile").load(f"{path}/shard={k}").select("content").collect()
-        data = b"".join(bytes(r[0]) for r in rows)
+        files = spark.read.format("binaryFile").load(f"{path}/shard={k}").select("path", "content").collect()
+        data = b"".join(bytes(content) for _, content in sorted((f[0].rsplit("/", 1)[1], f[1]) for f in files))
         for s in range(max(start, k * shard), min(stop, (k + 1) * shard)):
             at = (s - k * shard) * size
             if at >= len(data):
