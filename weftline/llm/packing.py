@@ -22,7 +22,7 @@ END_ID = 1
 #: A rest is a piece as it is if its class wastes no more than this share of it, or if it is this short.
 WASTE, SHORT = 1 / 64, 16
 #: Pieces whose ranks one task counts.
-BUCKET = 100_000
+BUCKET = 10_000
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
