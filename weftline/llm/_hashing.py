@@ -78,6 +78,18 @@ def _pieces(texts: list[bytes | None], separators: np.ndarray):
         yield b" ".join(parts), at
 
 
+def groups(texts: list[bytes | None], size: int = 4 * PIECE):
+    """(start, stop) of consecutive texts of about ``size`` bytes together, so that arrays for their words stay small."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        if total and total + len(text or b"") > size:
+            yield start, i
+            start, total = i, 0
+        total += len(text or b"")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _word_end(text: bytes, at: int, separators: np.ndarray) -> int:
     while at < len(text):
         cut = np.flatnonzero(separators[np.frombuffer(text, np.uint8, min(PIECE, len(text) - at), at)])

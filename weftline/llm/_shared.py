@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.shipping import ship
+
 #: Rows of one long column that may be broadcast: 8 MB of payload. Callers count first and shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 
@@ -24,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus."""
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}-{name}"
 

@@ -6,20 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import _shared, packing, training_order
+from weftline.llm import _shared, language_id, near_dups, packing, quality, secret_scan, substring_dedup, training_order
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_shared.source(spark, sf_dir, "documents"))
+
+
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, _shared.source(spark, sf_dir, "documents"), _shared.source(spark, sf_dir, "labels"))
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.write_shards(spark, _table(spark, sf_dir, "documents"), _shared.new_path(spark, "shards"), key=20_240_607)
+    return training_order.write_shards(spark, _shared.source(spark, sf_dir, "documents"), _shared.new_path(spark, "shards"), key=20_240_607)
+
+
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, _shared.source(spark, sf_dir, "documents"))
+
+
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.link(spark, _shared.source(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, _table(spark, sf_dir, "documents"))
+    return packing.pack(spark, _shared.source(spark, sf_dir, "documents"))
+
+
+def op10_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digest(spark, _shared.source(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_training_order, op8_harmonic_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_rule_ensemble, op3_training_order, op4_kneser_ney, op7_bottom_k, op8_harmonic_packing, op10_de_bruijn)}
 ORACLE_SQL: dict[str, str] = {}
