@@ -47,9 +47,11 @@ def _fold() -> np.ndarray:
 
 
 def _chunks(texts: list[str]):
-    """(numbers of texts, the texts) of about _CHUNK characters; longer texts are cut, each part with the same number."""
+    """(numbers of texts, the texts) of about _CHUNK characters; longer texts are cut, each part with the same number. Accents are composed first."""
     ids, parts, size = [], [], 0
     for i, text in enumerate(texts):
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         for at in range(0, len(text), _CHUNK):
             part = text[at : at + _CHUNK]
             if size and size + len(part) > _CHUNK:
