@@ -61,7 +61,7 @@ def permute(x, n: int, key: int, inverse: bool = False) -> np.ndarray:
 
 
 def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> DataFrame:
-    """part, local, doc_id, doc_start (ids of that document before the sequence), n_ids, ids_crc32, body (the ids, packed)."""
+    """part, local, doc_id, doc_start (ids of that document before the sequence), n_ids, ids_crc32, ends (of documents in it), body (the ids, packed)."""
 
     def run(batches):
         import pyarrow as pa
@@ -69,23 +69,24 @@ def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> Da
         from pyspark import TaskContext
 
         encode, part, pack = _tokens.encoder(vocabulary), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1).compress
-        held, size, first, local = [], 0, [], 0  # ids not cut yet; (place among them, doc_id, ids before that place) of their documents
+        held, size, first, stops, local = [], 0, [], [], 0  # ids not cut yet; (place among them, doc_id, ids before that place) of their documents; places where documents end
 
         def cuts(last: bool):
-            nonlocal held, size, first, local
+            nonlocal held, size, first, stops, local
             ids = np.concatenate(held)
             places, at, rows = [p for p, _, _ in first], 0, []
             while size - at >= length or (last and at < size):
                 place, doc, before = first[int(np.searchsorted(places, at, "right")) - 1]
                 one = ids[at : at + length]
-                rows.append((part, local, doc, before + at - place, len(one), zlib.crc32(one), pack(one.tobytes())))
+                ends = int(np.searchsorted(stops, at + len(one), "right") - np.searchsorted(stops, at, "right"))
+                rows.append((part, local, doc, before + at - place, len(one), zlib.crc32(one), ends, pack(one.tobytes())))
                 local += 1
                 at += length
             k = int(np.searchsorted(places, at, "right")) - 1
             place, doc, before = first[k]
             first = [(0, doc, before + at - place)] + [(p - at, d, b) for p, d, b in first[k + 1 :]]
-            held, size = [ids[at:]], max(0, size - at)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 6 + (pa.binary(),), strict=True)], names=["part", "local", "doc_id", "doc_start", "n_ids", "ids_crc32", "body"])
+            held, size, stops = [ids[at:]], max(0, size - at), [s - at for s in stops if s > at]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 7 + (pa.binary(),), strict=True)], names=["part", "local", "doc_id", "doc_start", "n_ids", "ids_crc32", "ends", "body"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), _shared.decoded(batch.column(1)), strict=True):
@@ -93,12 +94,13 @@ def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> Da
                 first.append((size, doc, 0))
                 held.append(ids)
                 size += len(ids)
+                stops.append(size)
                 if size >= 256 * length:
                     yield cuts(False)
         if size:
             yield cuts(True)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part long, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long, body binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part long, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long, ends long, body binary")
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, key: int, vocabulary: str | None = None, end_id: int = 50256, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
@@ -131,8 +133,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, key: int, voca
     index = _shared.table(
         spark,
         spark.createDataFrame(
-            ranges.mapPartitionsWithIndex(lambda r, of: ((r, i, *x) for i, (_, x) in enumerate(sorted(((p, x[:6]) for p, x in of), key=lambda y: y[0])))),
-            "range long, rank long, part long, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long",
+            ranges.mapPartitionsWithIndex(lambda r, of: ((r, i, *x) for i, (_, x) in enumerate(sorted(((p, x[:7]) for p, x in of), key=lambda y: y[0])))),
+            "range long, rank long, part long, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long, ends long",
         ),
         "sequences",
     )
@@ -141,11 +143,15 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, key: int, voca
         shifts[r] = total
         total += n
 
+    ended, there = index.agg(F.sum("ends")).first()[0] or 0, docs.count()
+    if ended != there:
+        raise ValueError(f"{there} documents, but the sequences end {ended}: the input changed between jobs")
+
     def records(r, of):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for slot, (_, (part, local, _, _, n, crc, body)) in enumerate(sorted(of, key=lambda y: y[0]), shifts.get(r, 0)):
+        for slot, (_, (part, local, _, _, n, crc, _, body)) in enumerate(sorted(of, key=lambda y: y[0]), shifts.get(r, 0)):
             ids = unpack(body)
             if len(ids) != 2 * n or zlib.crc32(ids) != crc:
                 raise ValueError(f"sequence {local} of partition {part} changed on its way")
