@@ -219,6 +219,25 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, max_entries:
     return build({x: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for x, g in found.groupby("lang")}, order)
 
 
+def judge(model: Model, texts: list[str], limits: dict[str, tuple[float, float]] | None):
+    """(language, score, entropy, whether there is one, rejected) of each text."""
+    names = np.array(model.langs, dtype=object)
+    entropy, letters = model.entropies(texts)
+    if not len(names):
+        entropy = np.zeros((len(texts), 1))
+    known = (letters > 0) & bool(len(names))
+    best = entropy.argmin(axis=1) if len(texts) else np.zeros(0, np.int64)
+    low = entropy[np.arange(len(texts)), best]
+    weight = np.exp(-(entropy - low[:, None]) * np.minimum(letters, CONFIDENT)[:, None])
+    certain = np.where(known, 1 / weight.sum(axis=1), 0.0)
+    lang = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+    far = ~known
+    if limits is not None:
+        mean, dev = (np.array([limits.get(x, (np.inf, 0.0))[i] for x in lang]) for i in (0, 1))
+        far = far | (low > mean + np.maximum(0.7, 6 * dev) + 4 / np.sqrt(np.maximum(letters, 1)))
+    return lang, certain, low, known, far
+
+
 def score(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected, one row per row of ``docs``.
 
@@ -231,29 +250,27 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str,
     def run(batches):
         import pyarrow as pa
 
-        model = shared.value
-        names = np.array(model.langs, dtype=object)
         for batch in batches:
-            texts = _shared.decoded(batch.column(1))
-            entropy, letters = model.entropies(texts)
-            if not len(names):
-                entropy = np.full((len(texts), 1), np.inf)
-            known = (letters > 0) & bool(len(names))
-            best = entropy.argmin(axis=1)
-            low = entropy[np.arange(len(texts)), best]
-            with np.errstate(invalid="ignore", over="ignore"):
-                weight = np.exp(-(entropy - low[:, None]) * np.minimum(letters, CONFIDENT)[:, None])
-                certain = np.where(known, 1 / weight.sum(axis=1), 0.0)
-            lang = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            far = ~known
-            if limits is not None:
-                mean, dev = (np.array([limits.get(x, (np.inf, 0.0))[i] for x in lang]) for i in (0, 1))
-                far |= low > mean + np.maximum(0.7, 6 * dev) + 4 / np.sqrt(np.maximum(letters, 1))
+            lang, certain, low, known, far = judge(shared.value, _shared.decoded(batch.column(1)), limits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(certain, pa.float64()), pa.array(np.where(known, low, np.nan), pa.float64(), mask=~known), pa.array(far)], names=["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
+def accepted(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            far = judge(shared.value, _shared.decoded(batch.column(batch.schema.get_field_index("text"))), limits)[-1]
+            yield batch.filter(pa.array(~far))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def calibrate(spark: SparkSession, docs: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
     """Mean and deviation of the entropy of each language's training documents, from about CALIBRATION_DOCS of them."""
     some = docs.where(F.col("lang").isNotNull())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import _shared, language_id, near_dups, packing, quality, secret_scan, substring_dedup, training_order
+from weftline.llm import _shared, ann, chat_format, decontamination, language_id, near_dups, packing, quality, secret_scan, substring_dedup, training_order
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, _shared.source(spark, sf_dir, "documents"))
 
 
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_pairs(chat_format.pair_neighbours(_shared.source(spark, sf_dir, "conversations")))
+
+
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, _shared.source(spark, sf_dir, "embeddings"))
+
+
 def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.link(spark, _shared.source(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -33,9 +41,13 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _shared.source(spark, sf_dir, "documents"))
 
 
+def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(spark, _shared.source(spark, sf_dir, "documents"), _shared.source(spark, sf_dir, "benchmark"))
+
+
 def op10_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(spark, _shared.source(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_rule_ensemble, op3_training_order, op4_kneser_ney, op7_bottom_k, op8_harmonic_packing, op10_de_bruijn)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_rule_ensemble, op3_training_order, op4_kneser_ney, op5_preference_format, op6_multi_index_hashing, op7_bottom_k, op8_harmonic_packing, op9_simhash_windows, op10_de_bruijn)}
+ORACLE_SQL: dict[str, str] = {"op5_preference_format": chat_format.SQL}
