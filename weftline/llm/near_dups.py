@@ -3,9 +3,9 @@
 A document's set is its distinct word shingles. Its sketch keeps the K smallest hashes. Equal sets become one node at once. Values
 that two or more nodes retain make inverted lists; a pair as similar as asked shares at least T retained values, so of each
 sketch only the rarest K - T + 1 values need a list, and what a third of all documents have in common lands in no list of theirs.
-Within a list every node is first paired with the most central one (that whose retained values are shared most), which joins
-groups of copies with one pair per member; only nodes that are still in different components are then paired with one another.
-Pairs whose union sketch estimates too little similarity drop out, and the rest are confirmed on the full sets.
+Every node is first paired with the most central one of its lists (that whose retained values are shared most), which joins groups
+of copies with one pair per member; lists that still hold different components are then compared in blocks. Pairs whose union
+sketch estimates too little similarity drop out, and the rest are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from weftline.llm.components import components
 
 #: Retained values; those that similar sets share at least. P(fewer | Jaccard 0.8) is about 1e-6.
 SKETCH, SHARED = 64, 36
-#: Rounds that pair each list's nodes with one centre before the rest is paired.
-CENTRES = 3
+#: Nodes, and shingles of their sets, in a block of those that are compared with one another.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 400_000
 
 
 def _sets(texts: list[bytes | None], words: int):
@@ -117,30 +117,15 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     firsts = _shared.table(spark, sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "firsts")
     nodes = _shared.table(spark, sets.select(F.col("doc_id").alias("node"), "f1", "f2", "n", "sketch").join(firsts.select("node", "f1", "f2", "n"), ["node", "f1", "f2", "n"]).distinct(), "nodes")
     lists = _shared.table(spark, _lists(nodes, percent), "lists")
-    links, tried = None, 0
-    open_lists = lists
-    for r in range(CENTRES + 1):
-        if r < CENTRES:
-            # the most central node of each list, then that of the members not joined with it yet
-            best = open_lists.groupBy("value").agg(F.max_by(F.struct("node", "n", "component"), F.struct("central", -F.col("node"))).alias("c"))
-            met = open_lists.join(best, "value").where((F.col("component") != F.col("c.component")) & _alike(F.col("n"), F.col("c.n"), percent))
-            pairs = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-        else:
-            x, y = (open_lists.select("value", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
-            pairs = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-        new = _confirmed(spark, pairs, nodes, docs, words, percent, f"round{r}")
-        links = new if links is None else links.union(new)
-        if r == CENTRES:
-            break
-        found = components(spark, links)
-        now = lists.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = now.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("value")
-        used = best.select("value", F.col("c.node").alias("node"))
-        tried = used if not tried else tried.union(used)
-        # a centre has been paired with every member, so it need not stay
-        open_lists = _shared.table(spark, now.join(spread, "value", "left_semi").join(tried, ["value", "node"], "left_anti"), f"open{r}")
-        if open_lists.isEmpty():
-            break
+    centres = _shared.table(spark, _centres(lists), "centres")
+    pairs = centres.where((F.col("node") != F.col("centre")) & _alike(F.col("n"), F.col("centre_n"), percent)).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = _confirmed(spark, pairs, nodes, docs, words, percent, "centres")
+    found = components(spark, links)
+    now = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = now.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("value")
+    open_lists = _shared.table(spark, now.join(spread, "value", "left_semi"), "open")
+    if not open_lists.isEmpty():
+        links = links.union(_among_blocks(spark, open_lists, centres, docs, words, percent))
     copies = sets.select("doc_id", "f1", "f2", "n").join(firsts.select("node", "f1", "f2", "n"), ["f1", "f2", "n"])
     own = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     found = components(spark, links.union(own))
@@ -148,8 +133,74 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _centres(lists: DataFrame) -> DataFrame:
+    """node, n, centre, centre_n: of the most central nodes of a node's lists the most central; for some that is the node itself."""
+    best = lists.groupBy("value").agg(F.max_by(F.struct("central", F.col("node").alias("centre"), F.col("n").alias("centre_n")), F.struct("central", -F.col("node"))).alias("c"))
+    met = lists.select("value", "node", "n").join(best, "value")
+    return met.groupBy("node", "n").agg(F.max_by("c", F.struct("c.central", -F.col("c.centre"))).alias("c")).select("node", "n", "c.centre", "c.centre_n")
+
+
+def _among_blocks(spark: SparkSession, open_lists: DataFrame, centres: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: links between nodes of different components that meet in a list.
+
+    Nodes are put into blocks of bounded size, those of one centre together. Two blocks are compared if some list has nodes of
+    both; so each pair of a list is met in one task of bounded memory, and only links leave it.
+    """
+    members = open_lists.select("node", "n", "component").distinct().join(centres.select("node", "centre"), "node")
+    sizes = members.groupBy("centre").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).alias("chunks"))
+    block = F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    members = _shared.table(spark, members.join(sizes, "centre").select("node", "n", "component", block.alias("block")).distinct(), "members")
+    spans = members.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    seen = open_lists.select("value", "node").join(members.select("node", "block"), "node").select("value", "block").distinct().join(spans, "block")
+    x, y = (seen.select("value", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high"))) for k in "ab")
+    fits = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    cells = _shared.table(spark, x.join(y, "value").where((F.col("block_a") <= F.col("block_b")) & fits).select("block_a", "block_b").distinct(), "cells")
+    wanted = members.select("node").distinct()
+    if wanted.count() <= _shared.BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = _shared.table(spark, full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == wanted["node"], "left_semi"), words), "open-sets")
+    rows = members.select("node", "component", "block").join(sets, "node")
+    side = lambda mine: cells.join(rows, F.col(mine) == F.col("block")).select("block_a", "block_b", F.lit(mine == "block_a").alias("first"), "node", "component", "shingles")
+    both = side("block_a").unionByName(side("block_b").where("block_a <> block_b"))
+
+    def compare(cell):
+        import pandas as pd
+
+        sets, component, ids = cell["shingles"].to_list(), cell["component"].to_numpy(), cell["node"].to_numpy()
+        same = cell["block_a"].iat[0] == cell["block_b"].iat[0]
+        a = np.flatnonzero(cell["first"].to_numpy())
+        b = a if same else np.flatnonzero(~cell["first"].to_numpy())
+        out = []
+        for i, j in _links_between(sets, a, b, component, percent):
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return _shared.table(spark, both.groupBy("block_a", "block_b").applyInPandas(compare, "a long, b long").distinct(), "block-links")
+
+
+def _links_between(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, component: np.ndarray, percent: int):
+    """Pairs (i of a, j of b) of different components that are similar enough: first by their sketches, then by their sets."""
+    n = np.array([len(s) for s in sets])
+    low = [s[:SKETCH] for s in sets]
+    values, who = np.concatenate([low[j] for j in b] or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(b)), [len(low[j]) for j in b])
+    order = np.argsort(values, kind="stable")
+    values, who = values[order], who[order]
+    for i in a:
+        left, right = np.searchsorted(values, low[i], "left"), np.searchsorted(values, low[i], "right")
+        many = right - left
+        hits = np.bincount(who[np.repeat(left - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())], minlength=len(b)) if many.any() else np.zeros(len(b), np.int64)
+        least = np.minimum(np.minimum(n[i], n[b]) * SHARED // SKETCH, SHARED)
+        maybe = b[(hits >= np.maximum(least, 1)) & (component[b] != component[i]) & (np.minimum(n[i], n[b]) * 100 >= np.maximum(n[i], n[b]) * percent)]
+        if not len(maybe):
+            continue
+        every = np.concatenate([sets[j] for j in maybe])
+        at = np.minimum(np.searchsorted(sets[i], every), n[i] - 1)
+        inner = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.append(0, np.cumsum(n[maybe])[:-1]))
+        yield from ((i, j) for j in maybe[inner * 100 >= (n[i] + n[maybe] - inner) * percent])
+
+
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """value, node, n, central, component: the inverted lists of the rarest retained values, by node."""
+    """value, node, n, central: the inverted lists of the rarest retained values, by node."""
     held = nodes.select("node", "n", F.explode("sketch").alias("value"))
     often = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = held.join(often, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
@@ -158,4 +209,4 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
     prefix = F.least("n", F.lit(SKETCH)) - need + 1
     room = prefix - (F.least("n", F.lit(SKETCH)) - F.size("values"))  # values that no other node retains come first
     cut = shared.where(room > 0).select("node", "n", F.slice("values", 1, room.cast("int")).alias("kept"), F.aggregate("values", F.lit(0.0), lambda s, v: s + F.log(v["df"].cast("double"))).alias("central"))
-    return cut.select(F.explode("kept.value").alias("value"), "node", "n", "central", F.col("node").alias("component"))
+    return cut.select(F.explode("kept.value").alias("value"), "node", "n", "central")
