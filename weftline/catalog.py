@@ -1,10 +1,512 @@
-"""Every query of the engine by name, with its SQL."""
+"""Every query of the engine by name, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import paths, text
+from weftline.operators import closure, coupling, evaluate, flows, graph, history, links, matrix, stats
+from weftline.plans import fixtures
+from weftline.plans.lineage import cut
+from weftline.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_PART = r"'RD\' || p_brand || '\steps\p' || p_partkey || '.cwl'"
+_STEPS = rf"""st AS (
+  SELECT 'RD\o' || l_orderkey || '\wf.cwl' AS w, pos, {_PART} AS c FROM (
+    SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos FROM lineitem)
+  JOIN part ON l_partkey = p_partkey),
+tools AS (SELECT {_PART} AS c FROM part),
+wf AS (SELECT w, max(pos) AS last FROM st GROUP BY w)"""
+_NODES = r"""n AS (
+  SELECT 'Component|' || c AS node_id, 'Component' AS kind, c AS component_id, NULL AS parameter_id, regexp_replace(list_last(string_split(c, '\')), '\.[^.]+$', '') AS nice_id, NULL AS parameter_type, NULL AS component_type FROM tools
+  UNION ALL SELECT 'InParameter|' || c || '|in', 'InParameter', c, 'in', NULL, 'File', 'CommandLineTool' FROM tools
+  UNION ALL SELECT 'OutParameter|' || c || '|out', 'OutParameter', c, 'out', NULL, 'File', 'CommandLineTool' FROM tools
+  UNION ALL SELECT 'InParameter|' || w || '|x', 'InParameter', w, 'x', NULL, 'File', 'Workflow' FROM wf
+  UNION ALL SELECT 'OutParameter|' || w || '|res', 'OutParameter', w, 'res', NULL, 'File', 'Workflow' FROM wf)"""
+_EDGES = r"""k AS (
+  SELECT 'DATA_FLOW' AS rel_type, 'InParameter|' || c || '|in' AS src, 'Component|' || c AS dst, c AS component_id, '' AS step_id, 'in' AS data_id FROM tools
+  UNION SELECT 'DATA_FLOW', 'Component|' || c, 'OutParameter|' || c || '|out', c, '', 'out' FROM tools
+  UNION SELECT 'DATA_FLOW', 'InParameter|' || w || '|x', 'InParameter|' || c || '|in', w, 's' || pos, 'x' FROM st WHERE pos = 0
+  UNION SELECT 'DATA_FLOW', 'OutParameter|' || a.c || '|out', 'InParameter|' || b.c || '|in', b.w, 's' || b.pos, 's' || a.pos || '/out' FROM st a JOIN st b ON a.w = b.w AND a.pos + 1 = b.pos
+  UNION SELECT 'DATA_FLOW', 'OutParameter|' || c || '|out', 'OutParameter|' || w || '|res', w, '', 's' || last || '/out' FROM st JOIN wf USING (w) WHERE pos = last
+  UNION SELECT 'CONTROL_DEPENDENCY', 'InParameter|' || b.c || '|in', 'OutParameter|' || a.c || '|out', b.w, 's' || b.pos, 's0/out'
+    FROM st b JOIN st a ON a.w = b.w AND a.pos = 0 JOIN orders ON b.w = 'RD\o' || o_orderkey || '\wf.cwl' WHERE b.pos > 0 AND o_orderstatus = 'F'),
+e AS (SELECT concat_ws('|', rel_type, src, dst, component_id, step_id, data_id) AS edge_id, * FROM k)"""
+_GRAPH = f"{_STEPS}, {_NODES}, {_EDGES}"
+_BETWEEN = """bt AS (
+  SELECT s AS source_id, t AS target_id, w AS context_id, CASE WHEN j - m = 1 THEN 'Sequential' ELSE 'Transitive' END AS flow_type, CAST(j - m AS INTEGER) AS distance FROM (
+    SELECT b.w, b.pos AS j, b.c AS t, a.c AS s, max(a.pos) AS m FROM st a JOIN st b ON a.w = b.w AND a.pos < b.pos AND a.c <> b.c GROUP BY ALL HAVING max(a.pos) > 0))"""
+_FLOWS = f"""{_STEPS}, {_BETWEEN}, fl AS (
+  SELECT * FROM bt UNION ALL SELECT w, c, w, 'Direct', 1 FROM st UNION ALL SELECT c, w, w, 'Indirect', 1 FROM st)"""
+_COUPLING = rf"""{_FLOWS}, src AS (SELECT DISTINCT source_id FROM fl),
+cnt AS (SELECT least(source_id, target_id) AS id_1, greatest(source_id, target_id) AS id_2, distance, count(*) AS n FROM fl WHERE source_id <> target_id GROUP BY ALL),
+sc AS (SELECT id_1, id_2, sum(CASE WHEN distance > 0 THEN CAST(n AS DOUBLE) / distance ELSE 0 END) AS score FROM cnt GROUP BY ALL),
+tr AS (SELECT c, string_split(c, '\')[2] AS repo, c IN (SELECT source_id FROM src) AS s FROM tools),
+cp AS (SELECT p.id_1, p.id_2, coalesce(score, 0) AS score FROM (SELECT a.c AS id_1, b.c AS id_2 FROM tr a JOIN tr b ON a.repo = b.repo AND a.c < b.c WHERE a.s OR b.s) p LEFT JOIN sc USING (id_1, id_2))"""
+_CHANGES = """d AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), kk AS (SELECT o FROM d GROUP BY o HAVING count(*) >= 2), ch AS (SELECT d.* FROM d JOIN kk USING (o)),
+np AS (SELECT p, count(*) AS n FROM ch GROUP BY p),
+cc AS (SELECT a.p AS file1, b.p AS file2, count(*) AS co FROM ch a JOIN ch b ON a.o = b.o AND a.p >= b.p GROUP BY ALL),
+cochange AS (SELECT file1, file2, co, CAST(co AS DOUBLE) / (x.n + y.n - co) * 100 AS pct FROM cc JOIN np x ON file1 = x.p JOIN np y ON file2 = y.p)"""
+_CALLS = """calls AS (
+  SELECT 'region:' || n_regionkey AS caller, 'nation:' || n_nationkey AS callee FROM nation UNION SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
+  UNION SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders UNION SELECT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem)"""
+
+
+def _erfc(x: str) -> str:
+    """SQL of functions.text.erfc for a column ``x``."""
+    poly = "0.17087277::DOUBLE"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
+        poly = f"({c}::DOUBLE + t * {poly})"
+    y = f"(t * exp(-x * x - 1.26551223::DOUBLE + t * {poly}))"
+    return f"(SELECT CASE WHEN x >= 0 THEN {y} ELSE 2 - {y} END FROM (SELECT x, 1::DOUBLE / (1 + 0.5::DOUBLE * abs(x)) AS t FROM (SELECT {x} AS x)))"
+
+
+def query(sql: str | None):
+    """Registers a query under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- history
+
+
+@query(f"WITH {_CHANGES} SELECT * FROM cochange")
+def q_cochange_jaccard(spark, d):
+    return history.cochange(fixtures.changes(spark, d))
+
+
+@query("SELECT l_orderkey AS commit_id, count(DISTINCT l_partkey) AS n_files FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2")
+def q_multi_file_commits(spark, d):
+    return history.file_sets(fixtures.changes(spark, d)).select("commit_id", F.size("files").cast("long").alias("n_files"))
+
+
+@query("""SELECT doc_id FROM documents WHERE NOT coalesce((contains(lower(text), 'merge') AND (contains(lower(text), 'branch') OR contains(lower(text), 'conflict')))
+  OR contains(lower(text), 'doc') OR contains(lower(text), 'comment'), false)""")
+def q_message_filter(spark, d):
+    return history.kept_messages(fixtures.table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id")
+
+
+@query("SELECT o_custkey, count(*) AS commits FROM orders GROUP BY 1 HAVING count(*) >= 10")
+def q_project_gate(spark, d):
+    return history.project_gate(fixtures.table(spark, d, "orders"), "o_custkey", 10)
+
+
+@query(r"""WITH f AS (SELECT o_orderpriority AS project_id, o_orderstatus AS mr_id, l_orderkey AS id, 'RD\' || o_orderpriority || '\p' || l_partkey || '.cwl' AS file FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O' OR l_returnflag <> 'R'),
+c AS (SELECT project_id, mr_id, id, string_agg(file, ',' ORDER BY file) AS changed_files FROM f GROUP BY ALL HAVING count(*) >= 2)
+SELECT project_id, CAST(id AS VARCHAR) AS id, changed_files FROM c WHERE project_id IN (SELECT project_id FROM c GROUP BY 1 HAVING count(*) >= 30)""")
+def q_captured_commits(spark, d):
+    orders, lines = fixtures.table(spark, d, "orders"), fixtures.table(spark, d, "lineitem")
+    noise = F.when((F.col("l_linestatus") == "O") | (F.col("l_returnflag") != "R"), "fix step").otherwise("Update docs")
+    commits = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("project_id"), F.col("o_orderstatus").alias("mr_id"), F.col("l_orderkey").cast("string").alias("commit_id"), noise.alias("message"), F.concat(F.lit("p"), "l_partkey", F.lit(".cwl")).alias("new_path"))
+    prefixes = orders.select(F.col("o_orderpriority").alias("project_id")).distinct().select("project_id", F.concat(F.lit("RD\\"), "project_id", F.lit("\\")).alias("prefix"))
+    return history.captured_commits(commits, prefixes).select("project_id", "id", F.array_join("changed_files", ",").alias("changed_files"))
+
+
+# --- paths, texts, predicates
+
+
+@query(rf"SELECT p_partkey, {_PART} AS component_id FROM part")
+def q_clean_component_id(spark, d):
+    return fixtures.table(spark, d, "part").select("p_partkey", paths.clean_component_id(F.concat(F.lit("repos\\"), fixtures.part_path())).alias("component_id"))
+
+
+@query(rf"""SELECT p_partkey, list_last(string_split(x, '\')) AS name, 'p' || p_partkey AS stem, '.cwl' AS suffix, 'RD\' || p_brand AS repo, CAST(len(string_split(x, '\')) AS INTEGER) AS n_parts FROM (SELECT *, {_PART} AS x FROM part)""")
+def q_path_parts(spark, d):
+    p, s = F.col("path"), "\\"
+    parts = fixtures.table(spark, d, "part").select("p_partkey", fixtures.part_path().alias("path"))
+    return parts.select("p_partkey", paths.name(p, s).alias("name"), paths.stem(p, s).alias("stem"), paths.suffix(p, s).alias("suffix"), paths.repo_key(p).alias("repo"), F.size(paths.parts(p, s)).alias("n_parts"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) || '/y', '/+', '/', 'g'), '/') AS path FROM pages")
+def q_resolve_path(spark, d):
+    raw = F.concat(F.lit("../a/.././"), F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1), F.lit("/./x/z/../../y"))
+    return fixtures.table(spark, d, "pages").select("page_id", paths.fold_path(raw).alias("path"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'RD/' || p_brand || '/wf.cwl/s' || p_size ELSE 'RD/' || p_brand || '/tools/p' || p_partkey || '.cwl' END AS target FROM part""")
+def q_step_target(spark, d):
+    part = fixtures.table(spark, d, "part")
+    target = paths.step_target(F.concat(F.lit("RD/"), "p_brand", F.lit("/wf.cwl")), F.concat(F.lit("s"), "p_size"), F.concat(F.lit("./steps/../tools/p"), "p_partkey", F.lit(".cwl")), F.col("p_size") % 2 == 0)
+    return part.select("p_partkey", target.alias("target"))
+
+
+@query("""SELECT event_id, 0 AS at, 'parameter' AS kind, event_type AS ref FROM events UNION ALL SELECT event_id, 1, 'parameter', 'k' || user_id FROM events UNION ALL SELECT event_id, 2, 'step_output', 's' || user_id || '/' || event_type FROM events""")
+def q_js_refs(spark, d):
+    e = F.concat(F.lit("$(steps.s"), "user_id", F.lit(".outputs."), "event_type", F.lit(" && inputs."), "event_type", F.lit(" || inputs.k"), "user_id", F.lit(' || inputs["b"])'))
+    return fixtures.table(spark, d, "events").select("event_id", F.posexplode(text.expression_references(e)).alias("at", "r")).select("event_id", "at", "r.kind", "r.ref")
+
+
+@query("SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') OR starts_with(url, 'git@') AS is_url FROM pages")
+def q_is_url(spark, d):
+    return fixtures.table(spark, d, "pages").select("page_id", paths.is_url(F.col("url")).alias("is_url"))
+
+
+@query(r"SELECT page_id, regexp_replace(list_last(string_split(regexp_replace(url, '/+$', ''), '/')), '\.git$', '') AS name FROM pages")
+def q_repo_name(spark, d):
+    return fixtures.table(spark, d, "pages").select("page_id", paths.repo_name(F.col("url")).alias("name"))
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 AS is_executable, CASE WHEN p_size % 2 = 0 THEN p_name END AS executable FROM part")
+def q_executables(spark, d):
+    at = F.concat(F.when(F.col("p_size") % 2 == 0, "/usr/local/bin/").otherwise("/opt/bin/"), "p_name")
+    return fixtures.table(spark, d, "part").select("p_partkey", paths.is_executable(at).alias("is_executable"), paths.executable(at).alias("executable"))
+
+
+@query("SELECT event_id, 'null OR ' || event_type AS type FROM events")
+def q_param_type_string(spark, d):
+    return fixtures.table(spark, d, "events").select("event_id", text.type_text(F.array(F.lit("null"), "event_type")).alias("type"))
+
+
+@query(rf"""WITH {_STEPS}, a AS (SELECT w, list(c ORDER BY pos) AS l FROM st GROUP BY w)
+SELECT w AS workflow_id, true AS tail_ends, len(l) = 1 AS head_ends, false AS nothing_ends FROM a""")
+def q_stack_suffix(spark, d):
+    chain = F.transform(F.array_sort(F.collect_list(F.struct("pos", "component_id"))), lambda s: F.concat(s["pos"].cast("string"), s["component_id"]))
+    stacks = fixtures.chain_steps(spark, d).groupBy("workflow_id").agg(chain.alias("l"))
+    tail, head = F.slice("l", F.size("l"), 1), F.slice("l", 1, 1)
+    return stacks.select("workflow_id", text.suffix_of(tail, F.col("l")).alias("tail_ends"), text.suffix_of(head, F.col("l")).alias("head_ends"), text.suffix_of(F.slice("l", 1, 0), F.col("l")).alias("nothing_ends"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_name IN ('red widget', 'blue bolt')")
+def q_wanted_repositories(spark, d):
+    wanted = spark.createDataFrame([("red widget",), ("blue bolt",), ("red widget",)], "p_name string")
+    return files.repositories(fixtures.table(spark, d, "part"), wanted, "p_name").select("p_partkey")
+
+
+# --- graph
+
+
+def _graph(spark, d):
+    return graph.build(*fixtures.definitions(spark, d), sep="\\")
+
+
+_NODE_COLUMNS = ("node_id", "kind", "component_id", "parameter_id", "nice_id", "parameter_type", "component_type")
+_EDGE_COLUMNS = ("edge_id", "rel_type", "src", "dst", "component_id", "step_id", "data_id")
+
+
+@query(f"WITH {_STEPS}, {_NODES} SELECT {', '.join(_NODE_COLUMNS)} FROM n")
+def q_scan_nodes(spark, d):
+    return _graph(spark, d)[0].select(*_NODE_COLUMNS)
+
+
+@query(f"WITH {_GRAPH} SELECT {', '.join(_EDGE_COLUMNS)} FROM e")
+def q_scan_edges(spark, d):
+    return _graph(spark, d)[1].select(*_EDGE_COLUMNS)
+
+
+@query(f"""WITH {_STEPS} SELECT b.w AS workflow_id, 's' || b.pos AS step_id, CASE WHEN b.pos = 0 THEN 'x' ELSE 's' || (b.pos - 1) || '/out' END AS source,
+  CASE WHEN b.pos = 0 THEN 'InParameter|' || b.w || '|x' ELSE 'OutParameter|' || a.c || '|out' END AS source_node FROM st b LEFT JOIN st a ON a.w = b.w AND a.pos = b.pos - 1""")
+def q_source_resolution(spark, d):
+    _, _, steps, inputs = fixtures.definitions(spark, d)
+    wanted = inputs.select("workflow_id", "step_id", F.explode("sources").alias("source"))
+    return graph.resolved_sources(wanted, steps).select("workflow_id", "step_id", "source", "source_node")
+
+
+@query(f"""WITH {_STEPS} SELECT w AS workflow_id, 's' || pos AS step_id, 's0/out' AS source FROM st JOIN orders ON w = 'RD\\o' || o_orderkey || '\\wf.cwl' WHERE pos > 0 AND o_orderstatus = 'F'""")
+def q_condition_sources(spark, d):
+    _, _, steps, inputs = fixtures.definitions(spark, d)
+    return graph.condition_sources(steps, inputs).select("workflow_id", "step_id", "source")
+
+
+@query(f"""WITH {_GRAPH} SELECT f.node_id, f.component_id, f.step, e.dst, e.step_id, e.data_id FROM (SELECT DISTINCT 'OutParameter|' || c || '|out' AS node_id, w AS component_id, 's' || pos AS step FROM st) f
+JOIN e ON e.src = f.node_id AND e.component_id = f.component_id WHERE starts_with(e.data_id, f.step || '/')""")
+def q_step_prefix_expand(spark, d):
+    frontier = fixtures.chain_steps(spark, d).select(graph.node_id("OutParameter", F.col("component_id"), F.lit("out")).alias("node_id"), F.col("workflow_id").alias("component_id"), F.concat(F.lit("s"), F.col("pos").cast("string")).alias("step")).distinct()
+    return graph.valid_connections(frontier, _graph(spark, d)[1]).select("node_id", "component_id", "step", "dst", "step_id", "data_id")
+
+
+@query(f"WITH {_GRAPH} SELECT e.src AS node_id, e.component_id, e.edge_id, e.data_id, e.dst, m.component_id AS dst_component FROM e JOIN n m ON m.node_id = e.dst")
+def q_outgoing_edges(spark, d):
+    return graph.outgoing(*_graph(spark, d))
+
+
+@query(f"""WITH {_STEPS} SELECT 'OutParameter|' || c || '|out' AS node_id FROM tools WHERE c NOT IN (SELECT c FROM st) UNION ALL SELECT 'OutParameter|' || w || '|res' FROM wf""")
+def q_outer_outputs(spark, d):
+    entities, params, steps, inputs = fixtures.definitions(spark, d)
+    used = params.join(steps.select(F.col("run_path").alias("component_id")).distinct(), "component_id", "left_semi")
+    return graph.outer_outputs(graph.build(entities, params, steps, inputs, "\\")[0], graph.tool_edges(used, entities)).select("node_id")
+
+
+@query(f"WITH {_STEPS}, {_NODES} SELECT DISTINCT component_id FROM n WHERE kind = 'InParameter'")
+def q_all_component_ids(spark, d):
+    return graph.component_ids(_graph(spark, d)[0])
+
+
+@query(f"WITH {_STEPS}, {_NODES} SELECT DISTINCT component_id FROM n WHERE kind = 'InParameter' AND component_type = 'Workflow'")
+def q_workflow_ids(spark, d):
+    return graph.workflow_ids(_graph(spark, d)[0])
+
+
+_SIZES = rf"""WITH {_GRAPH}, r AS (SELECT DISTINCT 'RD\' || p_brand AS repo FROM part),
+z AS (SELECT repo, (SELECT count(*) FROM n WHERE starts_with(n.component_id, repo)) AS node_count, (SELECT count(*) FROM e WHERE starts_with(e.component_id, repo)) AS edge_count FROM r)"""
+
+
+def _brands(spark, d):
+    return fixtures.table(spark, d, "part").select(F.concat(F.lit("RD\\"), "p_brand").alias("repo")).distinct()
+
+
+@query(f"{_SIZES} SELECT * FROM z")
+def q_graph_size(spark, d):
+    return graph.sizes(*_graph(spark, d), _brands(spark, d)).where("repo <> 'total'")
+
+
+@query(f"{_SIZES} SELECT coalesce(repo, 'total') AS repo, CAST(sum(node_count) AS BIGINT) AS node_count, CAST(sum(edge_count) AS BIGINT) AS edge_count FROM z GROUP BY ROLLUP (repo)")
+def q_graph_size_rollup(spark, d):
+    return graph.sizes(*_graph(spark, d), _brands(spark, d))
+
+
+@query("SELECT coalesce(p_brand, 'total') AS repo, count(*) AS files FROM part GROUP BY ROLLUP (p_brand)")
+def q_file_counts(spark, d):
+    return graph.file_counts(fixtures.table(spark, d, "part"), "p_brand")
+
+
+# --- closure
+
+
+@query(f"WITH RECURSIVE {_CALLS}, a(ancestor, node) AS (SELECT caller, callee FROM calls UNION SELECT a.ancestor, calls.callee FROM a JOIN calls ON a.node = calls.caller) SELECT ancestor, node FROM a")
+def q_call_ancestors(spark, d):
+    return closure.ancestors(fixtures.call_hierarchy(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, l(node, level) AS (SELECT DISTINCT caller, 0 FROM calls WHERE caller NOT IN (SELECT callee FROM calls) UNION SELECT callee, level + 1 FROM l JOIN calls ON node = caller)
+SELECT node, max(level) AS level FROM l GROUP BY node""")
+def q_topo_level(spark, d):
+    calls = fixtures.call_hierarchy(spark, d)
+    return closure.levels(calls, calls.select(F.col("caller").alias("node")).distinct())
+
+
+def _labelled(spark, d):
+    nodes, edges = _graph(spark, d)
+    workflows = graph.workflow_ids(nodes)
+    calls = fixtures.chain_steps(spark, d).select(F.col("workflow_id").alias("caller"), F.col("component_id").alias("callee")).distinct()
+    return closure.label_edges(edges, closure.ancestors(calls), workflows)
+
+
+@query(f"""WITH {_GRAPH}, l AS (SELECT c AS component_id, string_agg(w, ',' ORDER BY w) AS workflow_list FROM (SELECT DISTINCT w, c FROM st UNION SELECT w, w FROM wf) GROUP BY c)
+SELECT edge_id, coalesce(workflow_list, '') AS workflow_list FROM e LEFT JOIN l USING (component_id) WHERE rel_type = 'DATA_FLOW'""")
+def q_workflow_list(spark, d):
+    return _labelled(spark, d).where("rel_type = 'DATA_FLOW'").select("edge_id", F.array_join("workflow_list", ",").alias("workflow_list"))
+
+
+@query(f"WITH {_GRAPH} SELECT edge_id, component_id AS workflow_list FROM e WHERE rel_type = 'CONTROL_DEPENDENCY'")
+def q_control_first_data_edge(spark, d):
+    return closure.label_control_edges(_labelled(spark, d)).where("rel_type = 'CONTROL_DEPENDENCY'").select("edge_id", F.array_join("workflow_list", ",").alias("workflow_list"))
+
+
+@query(f"""WITH {_GRAPH} SELECT edge_id, string_agg(DISTINCT x, ',' ORDER BY x) AS workflow_list FROM (SELECT edge_id, unnest([component_id, 'RD\\extra', CASE WHEN rel_type = 'DATA_FLOW' THEN dst ELSE 'RD\\extra' END]) AS x FROM e) GROUP BY edge_id""")
+def q_merge_workflow_lists(spark, d):
+    edges = _graph(spark, d)[1].withColumn("workflow_list", F.array("component_id"))
+    more = edges.select("edge_id", F.explode(F.array(F.lit("RD\\extra"), F.when(F.col("rel_type") == "DATA_FLOW", F.col("dst")).otherwise(F.lit("RD\\extra")))).alias("workflow_id"))
+    return closure.merge_labels(edges, more).select("edge_id", F.array_join("workflow_list", ",").alias("workflow_list"))
+
+
+# --- flows
+
+
+@query(f"WITH {_STEPS}, {_BETWEEN} SELECT * FROM bt")
+def q_flows_seq_trans(spark, d):
+    return flows.between_steps(fixtures.chain_steps(spark, d))
+
+
+@query(f"WITH {_STEPS} SELECT w AS source_id, c AS target_id, w AS context_id, 'Direct' AS flow_type, 1 AS distance FROM st")
+def q_flows_direct(spark, d):
+    return flows.chain_flows(fixtures.chain_steps(spark, d)).where("flow_type = 'Direct'")
+
+
+@query(f"WITH {_STEPS} SELECT c AS source_id, w AS target_id, w AS context_id, 'Indirect' AS flow_type, 1 AS distance FROM st")
+def q_flows_indirect(spark, d):
+    return flows.chain_flows(fixtures.chain_steps(spark, d)).where("flow_type = 'Indirect'")
+
+
+@query(f"WITH {_FLOWS} SELECT * FROM fl")
+def q_flow_traversal(spark, d):
+    nodes, edges = _graph(spark, d)
+    return flows.flows(cut(nodes), cut(edges))
+
+
+# --- coupling
+
+
+def _coupling(spark, d):
+    return coupling.coupling(fixtures.tool_ids(spark, d), flows.chain_flows(fixtures.chain_steps(spark, d)))
+
+
+@query(rf"SELECT a.x AS id_1, b.x AS id_2 FROM (SELECT p_brand, {_PART} AS x FROM part) a JOIN (SELECT p_brand, {_PART} AS x FROM part) b ON a.p_brand = b.p_brand AND a.x < b.x")
+def q_same_repo_pairs(spark, d):
+    return coupling.compared_pairs(fixtures.tool_ids(spark, d))
+
+
+@query(f"WITH {_COUPLING} SELECT id_1, id_2, round(score, 6) AS score FROM cp")
+def q_coupling(spark, d):
+    return _coupling(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(rf"""WITH {_COUPLING}, s AS (SELECT file, sum(score) AS score FROM (SELECT id_1 AS file, score FROM cp UNION ALL SELECT id_2, score FROM cp) GROUP BY file)
+SELECT 'RD\' || string_split(c, '\')[2] AS repo, c AS file, round(coalesce(score, 0), 6) AS score FROM tools LEFT JOIN s ON file = c""")
+def q_cumulative_scores(spark, d):
+    return coupling.cumulative(_coupling(spark, d), fixtures.tool_ids(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(rf"""WITH {_COUPLING}, s AS (SELECT file, sum(score) AS score FROM (SELECT id_1 AS file, score FROM cp UNION ALL SELECT id_2, score FROM cp) GROUP BY file), r AS (SELECT DISTINCT 'RD\' || p_brand AS repo FROM part)
+SELECT repo, c AS file, round(coalesce(score, 0), 6) AS score FROM tools LEFT JOIN s ON file = c JOIN r ON starts_with(c, repo)""")
+def q_cumulative_scores_by_prefix(spark, d):
+    return coupling.cumulative_for(_coupling(spark, d), fixtures.tool_ids(spark, d), _brands(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_COUPLING} SELECT DISTINCT id FROM (SELECT id_1 AS id FROM cp UNION SELECT id_2 FROM cp) JOIN st ON id = c")
+def q_matrix_intersection(spark, d):
+    ids = _coupling(spark, d).select(F.explode(F.array("id_1", "id_2")).alias("id"))
+    return matrix.shared_ids(ids, fixtures.chain_steps(spark, d).select(F.col("component_id").alias("id")))
+
+
+# --- matrices
+
+
+_EVENT_PAIRS = """d AS (SELECT DISTINCT user_id AS o, event_type AS p FROM events), kk AS (SELECT o FROM d GROUP BY o HAVING count(*) >= 2), ch AS (SELECT d.* FROM d JOIN kk USING (o)), np AS (SELECT p, count(*) AS n FROM ch GROUP BY p),
+cc AS (SELECT a.p AS file1, b.p AS file2, count(*) AS co FROM ch a JOIN ch b ON a.o = b.o GROUP BY ALL), v AS (SELECT file1, file2, CAST(co AS DOUBLE) / (x.n + y.n - co) * 100 AS pct FROM cc JOIN np x ON file1 = x.p JOIN np y ON file2 = y.p)"""
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def _event_matrix(spark, d):
+    pairs = history.cochange(fixtures.table(spark, d, "events").select(F.col("user_id").alias("commit_id"), F.col("event_type").alias("file")))
+    return matrix.pivoted(pairs, "file1", "file2", "pct", list(_TYPES), 0.0)
+
+
+@query(f"WITH {_EVENT_PAIRS}, i AS (SELECT unnest({list(_TYPES)}) AS file1) SELECT i.file1, " + ", ".join(f"coalesce(max(pct) FILTER (file2 = '{t}'), 0) AS {t}" for t in _TYPES) + " FROM i LEFT JOIN v ON i.file1 = v.file1 GROUP BY ALL")
+def q_matrix_pivot(spark, d):
+    return _event_matrix(spark, d)
+
+
+@query(f"WITH {_EVENT_PAIRS}, i AS (SELECT unnest({list(_TYPES)}) AS t) SELECT a.t AS id_1, b.t AS id_2, coalesce(pct, 0) AS score FROM i a CROSS JOIN i b LEFT JOIN v ON a.t = file1 AND b.t = file2")
+def q_matrix_unpivot(spark, d):
+    return matrix.unpivoted(_event_matrix(spark, d), "file1", "id_1", "id_2", "score")
+
+
+# --- statistics
+
+
+_SAMPLE = "x AS (SELECT n_chars, quality FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"""WITH {_SAMPLE}, c AS (SELECT n_chars AS v, count(*) AS t, count(*) FILTER (quality = 1) AS t1 FROM x GROUP BY 1), r AS (SELECT *, coalesce(sum(t) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c),
+a AS (SELECT CAST(sum(t1) AS BIGINT) AS n1, CAST(sum(t - t1) AS BIGINT) AS n0, CAST(sum(t1 * (b + (t + 1) / 2.0)) AS DOUBLE) AS r1, CAST(sum(t * t * t - t) AS DOUBLE) AS ties FROM r),
+u AS (SELECT n1, n0, r1 - n1 * (n1 + 1.0::DOUBLE) / 2 AS u1, ties, CAST(n1 + n0 AS DOUBLE) AS n FROM a),
+z AS (SELECT *, (u1 - n1 * n0::DOUBLE / 2 - 0.5) / sqrt(n1 * n0::DOUBLE / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
+SELECT n1, n0, u1, round(z, 6) AS z, round(0.5 * {_erfc('z / sqrt(2::DOUBLE)')}, 6) AS p FROM z""")
+def q_mann_whitney(spark, d):
+    labels, docs = fixtures.table(spark, d, "labels"), fixtures.table(spark, d, "documents")
+    sample = labels.join(docs, "doc_id").select("n_chars", (F.col("quality") == 1).alias("good"))
+    return stats.mann_whitney(sample, "good", "n_chars").select("n1", "n0", "u1", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
+
+
+@query(f"""WITH {_SAMPLE}, c AS (SELECT n_chars AS a, quality AS b, count(*) AS t FROM x GROUP BY ALL),
+s AS (SELECT CAST(sum(CASE WHEN (p.a - q.a) * (p.b - q.b) > 0 THEN p.t * q.t ELSE 0 END) / 2 AS BIGINT) AS concordant, CAST(sum(CASE WHEN (p.a - q.a) * (p.b - q.b) < 0 THEN p.t * q.t ELSE 0 END) / 2 AS BIGINT) AS discordant FROM c p CROSS JOIN c q),
+ta AS (SELECT CAST(sum(t * (t - 1) / 2) AS DOUBLE) AS v FROM (SELECT sum(t) AS t FROM c GROUP BY a)), tb AS (SELECT CAST(sum(t * (t - 1) / 2) AS DOUBLE) AS v FROM (SELECT sum(t) AS t FROM c GROUP BY b)), m AS (SELECT CAST(sum(t) AS BIGINT) AS n FROM c)
+SELECT n, concordant, discordant, round((concordant - discordant) / sqrt((n * (n - 1)::DOUBLE / 2 - ta.v) * (n * (n - 1)::DOUBLE / 2 - tb.v)), 6) AS tau FROM s, ta, tb, m""")
+def q_kendall(spark, d):
+    labels, docs = fixtures.table(spark, d, "labels"), fixtures.table(spark, d, "documents")
+    return stats.kendall(labels.join(docs, "doc_id"), "n_chars", "quality").select("n", "concordant", "discordant", F.round("tau", 6).alias("tau"))
+
+
+@query(rf"""WITH {_COUPLING}, {_CHANGES}, nm AS (SELECT p_partkey, {_PART} AS id FROM part),
+yy AS (SELECT least(a.id, b.id) AS id_1, greatest(a.id, b.id) AS id_2, pct FROM cochange JOIN nm a ON file1 = a.p_partkey JOIN nm b ON file2 = b.p_partkey WHERE file1 <> file2),
+cells AS (SELECT coalesce(score, -1) AS coupling, coalesce(pct, 0) AS cochange, 2 * count(*) AS n FROM cp FULL JOIN yy USING (id_1, id_2) GROUP BY ALL),
+m AS (SELECT count(*) AS m FROM nm),
+al AS (SELECT coupling, cochange, sum(n) AS n FROM (SELECT * FROM cells UNION ALL SELECT -1, 100, m FROM m UNION ALL SELECT -1, 0, m * (m - 1) - (SELECT sum(n) FROM cells) FROM m) GROUP BY ALL)
+SELECT round(coupling, 6) AS coupling, cochange, CAST(sum(n) AS BIGINT) AS n FROM al GROUP BY ALL""")
+def q_evaluation_cells(spark, d):
+    cells = evaluate.dense_cells(*_evaluated(spark, d))
+    return cells.groupBy(F.round("coupling", 6).alias("coupling"), "cochange").agg(F.sum("n").alias("n"))
+
+
+def _evaluated(spark, d):
+    ids = fixtures.table(spark, d, "part").select("p_partkey", fixtures.part_path().alias("id"))
+    pairs = history.cochange(fixtures.changes(spark, d))
+    named = pairs.join(ids.select(F.col("p_partkey").alias("file1"), F.col("id").alias("a")), "file1").join(ids.select(F.col("p_partkey").alias("file2"), F.col("id").alias("b")), "file2")
+    return cut(_coupling(spark, d).withColumn("score", F.round("score", 9))), cut(named.select(F.col("a").alias("file1"), F.col("b").alias("file2"), "co", "pct")), ids.select("id")
+
+
+@query(None)
+def q_evaluation(spark, d):
+    return evaluate.evaluate(*_evaluated(spark, d))
+
+
+# --- links
+
+
+_LINKS = [("commands", "bolt", "https://h.example/g/bolt.git"), ("commands", "ring", "https://h.example/g/ring.git"), ("paths", "/opt/red widget/run", "https://h.example/g/run.git"), ("paths", "/usr/local/bin/red widget.py", "https://h.example/g/red.git"), ("paths", "blue", "https://h.example/g/blue.git")]
+_LINK_SQL = "lk AS (SELECT * FROM (VALUES " + ", ".join(str(x) for x in _LINKS) + ") v(kind, key, git_url))"
+
+
+def _links(spark):
+    return spark.createDataFrame(_LINKS, "kind string, key string, git_url string")
+
+
+@query(f"WITH {_LINK_SQL} SELECT p_partkey, key AS command, git_url FROM part JOIN lk ON string_split(p_name, ' ')[2] = key")
+def q_links_exact(spark, d):
+    commands = fixtures.table(spark, d, "part").select("p_partkey", F.get(F.split("p_name", " "), 1).alias("command"))
+    return links.exact(commands, _links(spark)).select("p_partkey", "command", "git_url")
+
+
+@query(f"WITH {_LINK_SQL} SELECT p_partkey, p_name AS command, min(key) AS key, arg_min(git_url, key) AS git_url FROM part JOIN lk ON contains(key, p_name) GROUP BY ALL")
+def q_links_contains(spark, d):
+    return links.containing(fixtures.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("command")), _links(spark))
+
+
+@query(f"WITH {_LINK_SQL} SELECT p_partkey, key, git_url FROM part JOIN lk ON regexp_matches(p_name, '\\b' || regexp_replace(key, '([^A-Za-z0-9_])', '\\\\\\1', 'g') || '\\b')")
+def q_links_regex(spark, d):
+    return links.mentioned(fixtures.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text")), _links(spark)).select("p_partkey", "key", "git_url")
+
+
+@query("SELECT 'paths' AS kind, p_name AS key, max('https://h.example/' || p_brand) AS git_url FROM part WHERE p_name NOT IN (SELECT event_type FROM events) GROUP BY p_name UNION ALL SELECT DISTINCT 'commands', event_type, 'https://e.example/' || event_type FROM events")
+def q_links_union(spark, d):
+    part, events = fixtures.table(spark, d, "part"), fixtures.table(spark, d, "events")
+    a = part.select(F.lit("paths").alias("kind"), F.col("p_name").alias("key"), F.concat(F.lit("https://h.example/"), "p_brand").alias("git_url"))
+    b = events.select(F.lit("commands").alias("kind"), F.col("event_type").alias("key"), F.lit("https://old.example").alias("git_url"))
+    c = events.select(F.lit("commands").alias("kind"), F.col("event_type").alias("key"), F.concat(F.lit("https://e.example/"), "event_type").alias("git_url"))
+    return links.union(a, b, c)
+
+
+def _clone_commands(spark, d):
+    c = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("git clone "), "url", F.lit("  /opt/r"), "page_id")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("git clone --no-checkout "), "url")).otherwise(F.concat(F.lit("cd x; git clone -q "), "url"))
+    return fixtures.table(spark, d, "pages").select("page_id", c.alias("command"))
+
+
+@query(r"""SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN '/opt/r' || page_id WHEN 2 THEN regexp_replace(list_last(string_split(regexp_replace(url, '/+$', ''), '/')), '\.git$', '') END AS folder FROM pages""")
+def q_git_clone_parse(spark, d):
+    return links.clones(_clone_commands(spark, d)).select("page_id", "url", "folder")
+
+
+@query("SELECT page_id, '/opt/r/' || page_id AS from_path, '/usr/local/bin/x' || page_id AS to_path FROM pages")
+def q_ln_parse(spark, d):
+    commands = fixtures.table(spark, d, "pages").select("page_id", F.concat(F.lit("ln -s  /opt/r/"), "page_id", F.lit(" /usr/local/bin/x"), "page_id").alias("command"))
+    return links.moves(commands).select("page_id", "from_path", "to_path")
+
+
+@query("SELECT 'paths' AS kind, unnest(['/opt/r/' || page_id, '/a/' || page_id, '/b/' || page_id]) AS key, url AS git_url FROM pages")
+def q_symlink_chain(spark, d):
+    pages = fixtures.table(spark, d, "pages")
+    at = lambda folder: F.concat(F.lit(f"/{folder}/"), "page_id")
+    known = pages.select(at("opt/r").alias("key"), F.col("url").alias("git_url"))
+    first = pages.select((F.col("page_id") * 2).alias("at"), at("opt/r").alias("from_path"), at("a").alias("to_path"))
+    second = pages.select((F.col("page_id") * 2 + 1).alias("at"), at("a").alias("from_path"), at("b").alias("to_path"))
+    early = pages.select((F.col("page_id") * 2).alias("at"), at("b").alias("from_path"), at("c").alias("to_path"))  # before anything is there
+    return links.follow_moves(known, first.unionByName(second).unionByName(early))
+
+
+@query("SELECT page_id, 0 AS at, 'apt-get update' AS command FROM pages UNION ALL SELECT page_id, 1, 'git clone ' || url FROM pages UNION ALL SELECT page_id, 2, 'make install' FROM pages")
+def q_run_commands(spark, d):
+    pages = fixtures.table(spark, d, "pages")
+    docker = F.concat(F.lit("FROM x\n# RUN no\nRUN apt-get update && \\\n    git clone "), "url", F.lit("\nENV A=b\nrun make install\n"))
+    return links.run_commands(pages.select(F.col("page_id").alias("path"), docker.alias("text"))).select(F.col("path").alias("page_id"), "at", "command")
