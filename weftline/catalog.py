@@ -43,7 +43,7 @@ _BETWEEN = """bt AS (
   SELECT s AS source_id, t AS target_id, w AS context_id, CASE WHEN j - m = 1 THEN 'Sequential' ELSE 'Transitive' END AS flow_type, CAST(j - m AS INTEGER) AS distance FROM (
     SELECT b.w, b.pos AS j, b.c AS t, a.c AS s, max(a.pos) AS m FROM st a JOIN st b ON a.w = b.w AND a.pos < b.pos AND a.c <> b.c GROUP BY ALL HAVING max(a.pos) > 0))"""
 _FLOWS = f"""{_STEPS}, {_BETWEEN}, fl AS (
-  SELECT * FROM bt UNION ALL SELECT w, c, w, 'Direct', 1 FROM st UNION ALL SELECT c, w, w, 'Indirect', 1 FROM st)"""
+  SELECT * FROM bt UNION ALL SELECT min(w), c, min(w), 'Direct', 1 FROM st GROUP BY c, pos UNION ALL SELECT c, w, w, 'Indirect', 1 FROM st)"""
 _COUPLING = rf"""{_FLOWS}, src AS (SELECT DISTINCT source_id FROM fl),
 cnt AS (SELECT least(source_id, target_id) AS id_1, greatest(source_id, target_id) AS id_2, distance, count(*) AS n FROM fl WHERE source_id <> target_id GROUP BY ALL),
 sc AS (SELECT id_1, id_2, sum(CASE WHEN distance > 0 THEN CAST(n AS DOUBLE) / distance ELSE 0 END) AS score FROM cnt GROUP BY ALL),
@@ -319,7 +319,7 @@ def q_flows_seq_trans(spark, d):
     return flows.between_steps(fixtures.chain_steps(spark, d))
 
 
-@query(f"WITH {_STEPS} SELECT w AS source_id, c AS target_id, w AS context_id, 'Direct' AS flow_type, 1 AS distance FROM st")
+@query(f"WITH {_STEPS} SELECT min(w) AS source_id, c AS target_id, min(w) AS context_id, 'Direct' AS flow_type, 1 AS distance FROM st GROUP BY c, pos")
 def q_flows_direct(spark, d):
     return flows.chain_flows(fixtures.chain_steps(spark, d)).where("flow_type = 'Direct'")
 
