@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes hashed at a time: intermediate arrays have eight bytes for each of them.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _U = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

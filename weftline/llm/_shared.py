@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.shipping import ship
@@ -43,6 +44,21 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, size: int = 8 << 20):
+    """Parts of Arrow batches with about ``size`` bytes of ``text`` each, so that Python objects are made for few texts at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
+        parts = np.cumsum(sizes, dtype=np.int64) // size
+        starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
+        for a, b in zip(starts, [*starts[1:], len(parts)], strict=True):
+            yield batch.slice(a, b - a)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def texts_of(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column."""
     import pyarrow as pa

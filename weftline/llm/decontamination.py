@@ -115,7 +115,7 @@ def _against(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
         import pyarrow as pa
 
         index = Index(shared.value)
-        for batch in batches:
+        for batch in _shared.slices(batches):
             ids, texts = batch.column(0).to_pylist(), [normalised(t) for t in _shared.decoded(batch.column(1))]
             out = []
             for a, b in _hashing.groups(texts):

@@ -28,14 +28,14 @@ CONFIDENT = 50
 UNKNOWN = "und"
 _BITS, _MASK, _SPACE, _PAD = 12, 4095, 32, 0
 _PAD_CHAR = chr(0x10FFFF)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _folds: list[np.ndarray] = []
 
 
 def _fold() -> np.ndarray:
     """Code point -> twelve bits: letters and marks in lower case, everything else a space."""
     if not _folds:
-        out = np.full(0x110000, _SPACE, np.int64)
+        out = np.full(0x110000, _SPACE, np.int16)
         for i in range(0x110000):
             c = chr(i)
             if unicodedata.category(c)[0] in "LM":
@@ -68,7 +68,7 @@ def _grams(parts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """(keys, number of the part each belongs to, letters by part)."""
     pad = _PAD_CHAR * (order - 1)
     codes = np.frombuffer((pad + pad.join(parts)).encode("utf-32-le", "replace"), np.uint32)
-    m = _fold()[codes]
+    m = _fold()[codes].astype(np.int64)
     part = np.repeat(np.arange(len(parts)), [len(p) + order - 1 for p in parts])
     keep = np.ones(len(m), bool)
     keep[1:] = (m[1:] != _SPACE) | (m[:-1] != _SPACE)
@@ -103,7 +103,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(counts[i : i + 100_000])], names=["lang", "gram", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             texts, langs = _shared.decoded(batch.column(0)), batch.column(1).to_pylist()
             for lang in set(langs):
                 for _, parts in _chunks([t for t, x in zip(texts, langs, strict=True) if x == lang]):
@@ -113,7 +113,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     mine.append((keys[first], np.diff(np.append(first, len(keys)))))
                     if len(mine) >= 8:
                         mine[:] = [_sum_by_key(np.concatenate([k for k, _ in mine]), np.concatenate([c for _, c in mine]))]
-            if sum(len(k) for parts in held.values() for k, _ in parts) > 2_000_000:
+            if sum(len(k) for parts in held.values() for k, _ in parts) > 1_000_000:
                 yield from flush()
         yield from flush()
 
@@ -250,7 +250,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str,
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             lang, certain, low, known, far = judge(shared.value, _shared.decoded(batch.column(1)), limits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(certain, pa.float64()), pa.array(np.where(known, low, np.nan), pa.float64(), mask=~known), pa.array(far)], names=["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
@@ -264,7 +264,7 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[st
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             far = judge(shared.value, _shared.decoded(batch.column(batch.schema.get_field_index("text"))), limits)[-1]
             yield batch.filter(pa.array(~far))
 

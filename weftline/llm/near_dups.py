@@ -37,7 +37,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             n, f1, f2, kept = [], [], [], []
             for s in _sets(_shared.texts_of(batch.column(1)), words):
                 n.append(len(s))
@@ -58,7 +58,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             ids, sets = batch.column(0).to_pylist(), []
             for i, s in enumerate(_sets(_shared.texts_of(batch.column(1)), words)):
                 sets.append((ids[i], s))

@@ -48,7 +48,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, cap
         import pyarrow as pa
 
         encode = _tokens.encoder(vocabulary)
-        for batch in batches:
+        for batch in _shared.slices(batches):
             out = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), _shared.decoded(batch.column(1)), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")

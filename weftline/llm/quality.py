@@ -75,7 +75,7 @@ def with_statistics(docs: DataFrame, keep: str, kept_type: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             x = statistics(_shared.texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], names=[keep, *FEATURES])
 

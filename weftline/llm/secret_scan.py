@@ -211,7 +211,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             out = [[], [], [], [], []]
             for text in _shared.decoded(batch.column(1)):
                 base = ordered(base_spans(text))
@@ -230,7 +230,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             at = batch.schema.get_field_index("text")
             new = [None if t is None else redact(t.decode("utf-8", "replace"), ordered(base_spans(t.decode("utf-8", "replace")) + confirmed_spans(t.decode("utf-8", "replace")))) for t in _shared.texts_of(batch.column(at))]
             columns = [*batch.columns]

@@ -56,7 +56,7 @@ def _minimizers(docs: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             texts = _shared.texts_of(batch.column(0))
             for a, b in _hashing.groups(texts):
                 if found := _paths(texts[a:b], window, k):
@@ -87,7 +87,7 @@ def paths(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k: int = M
         import pyarrow as pa
 
         bits = marks.value
-        for batch in batches:
+        for batch in _shared.slices(batches):
             ids, bodies, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), _shared.texts_of(batch.column(2))
             for a, b in _hashing.groups(texts):
                 found = _paths(texts[a:b], window, k)
@@ -151,7 +151,7 @@ def _cut(spark: SparkSession, docs: DataFrame, window: int, k: int, column: str,
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             n_words, n_removed, out = [], [], []
             for text, starts, stops in zip(_shared.texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text or b"").split()

@@ -88,7 +88,7 @@ def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> Da
             held, size, stops = [ids[at:]], max(0, size - at), [s - at for s in stops if s > at]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 7 + (pa.binary(),), strict=True)], names=["part", "local", "doc_id", "doc_start", "n_ids", "ids_crc32", "ends", "body"])
 
-        for batch in batches:
+        for batch in _shared.slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), _shared.decoded(batch.column(1)), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u2")
                 first.append((size, doc, 0))
