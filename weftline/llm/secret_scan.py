@@ -29,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-]{40,}={0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{40,}={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _SEQUENCE, _INTEGER, _BITS, _OCTETS, _OID, _NULL = 0x30, 0x02, 0x03, 0x04, 0x06, 0x05
@@ -161,10 +161,11 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         if block < len(taken) and taken[block][0] <= m.start():
             continue
         run = m[0]
-        if run.startswith("ey") and run.count(".") in (2, 4):
-            whole = run.rstrip(".")
-            if is_signed_token(run) or whole != run and is_signed_token(whole):
-                out.append(("signed_token", m.start(), m.start() + len(whole if not is_signed_token(run) else run)))
+        if run.startswith("ey") and "." in run:
+            for whole in dict.fromkeys((run, run.rstrip("."))):  # an unsigned token ends in a dot, and so may a sentence
+                if is_signed_token(whole):
+                    out.append(("signed_token", m.start(), m.start() + len(whole)))
+                    break
             continue
         if run[:2] in ("MI", "MC", "ME", "MF", "MH", "MG", "AA", "b3") and "." not in run.rstrip("."):
             run = run.rstrip(".")
