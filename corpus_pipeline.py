@@ -17,6 +17,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the models of their corpus don't reject; a text without letters is rejected, so null texts go."""
+    _shared.prepare(spark)
     learn = docs.select("doc_id", "text", "lang")
     model = language_id.train(spark, learn)
     return language_id.accepted(spark, docs, model, language_id.calibrate(spark, learn, model))
@@ -24,9 +25,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word shingles alike to 0.8, that of the smallest doc_id; of rows that share a doc_id, one."""
-    ship_ids = docs.where("doc_id is not null")
-    if not ship_ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
-        docs = _shared.table(spark, ship_ids.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")), "unique")
+    _shared.prepare(spark)
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        docs = _shared.table(spark, named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")), "unique")
     gone = near_dups.link(spark, docs, words=5, percent=80).where("not kept").select("doc_id")
     return _without(docs, _shared.table(spark, gone.distinct(), "gone"))
 
@@ -39,12 +41,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced."""
+    _shared.prepare(spark)
     return secret_scan.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, placed in sequences."""
-    return packing.pack(spark, docs)
+    return packing.pack(_shared.prepare(spark), docs)
 
 
 STAGES = [

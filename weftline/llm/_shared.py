@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -12,6 +14,8 @@ from weftline.shipping import ship
 
 #: Rows of one long column that may be broadcast: 8 MB of payload. Callers count first and shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors and Arrow batches of at most BATCH_BYTES: two tasks hold several at a time."""
+    ship(spark)
+    if int(re.sub(r"\D", "", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")) or 0) != BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return spark
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,17 +58,28 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def slices(batches, size: int = 8 << 20):
     """Parts of Arrow batches with about ``size`` bytes of ``text`` each, so that Python objects are made for few texts at a time."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
+        _give_back()
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
         parts = np.cumsum(sizes, dtype=np.int64) // size
         starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
         for a, b in zip(starts, [*starts[1:], len(parts)], strict=True):
             yield batch.slice(a, b - a)
         del batch
-        pa.default_memory_pool().release_unused()
+    _give_back()
+
+
+def _give_back() -> None:
+    """Returns what this process has freed to the system: idle workers share their executor's memory with busy ones."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(column) -> list[bytes | None]:

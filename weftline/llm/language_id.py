@@ -25,6 +25,8 @@ MAX_ENTRIES = 2_000_000
 CALIBRATION_DOCS = 4_000
 #: Letters that count towards the confidence; more would only saturate it.
 CONFIDENT = 50
+#: Nats per character above a language's mean that are never rejected: texts in two languages, or with long quotations, stay below.
+MARGIN = 1.3
 UNKNOWN = "und"
 _BITS, _MASK, _SPACE, _PAD = 12, 4095, 32, 0
 _PAD_CHAR = chr(0x10FFFF)
@@ -234,7 +236,7 @@ def judge(model: Model, texts: list[str], limits: dict[str, tuple[float, float]]
     far = ~known
     if limits is not None:
         mean, dev = (np.array([limits.get(x, (np.inf, 0.0))[i] for x in lang]) for i in (0, 1))
-        far = far | (low > mean + np.maximum(0.7, 6 * dev) + 4 / np.sqrt(np.maximum(letters, 1)))
+        far = far | (low > mean + np.maximum(MARGIN, 8 * dev) + 4 / np.sqrt(np.maximum(letters, 1)))
     return lang, certain, low, known, far
 
 
