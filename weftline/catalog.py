@@ -419,27 +419,36 @@ def q_kendall(spark, d):
     return stats.kendall(labels.join(docs, "doc_id"), "n_chars", "quality").select("n", "concordant", "discordant", F.round("tau", 6).alias("tau"))
 
 
-@query(rf"""WITH {_COUPLING}, {_CHANGES}, nm AS (SELECT p_partkey, {_PART} AS id FROM part),
+_CELLS = rf"""{_COUPLING}, {_CHANGES}, nm AS (SELECT p_partkey, {_PART} AS id FROM part),
 yy AS (SELECT least(a.id, b.id) AS id_1, greatest(a.id, b.id) AS id_2, pct FROM cochange JOIN nm a ON file1 = a.p_partkey JOIN nm b ON file2 = b.p_partkey WHERE file1 <> file2),
-cells AS (SELECT coalesce(score, -1) AS coupling, coalesce(pct, 0) AS cochange, 2 * count(*) AS n FROM cp FULL JOIN yy USING (id_1, id_2) GROUP BY ALL),
+cells AS (SELECT coalesce(round(score, 6), -1) AS coupling, coalesce(pct, 0) AS cochange, 2 * count(*) AS n FROM cp FULL JOIN yy USING (id_1, id_2) GROUP BY ALL),
 m AS (SELECT count(*) AS m FROM nm),
-al AS (SELECT coupling, cochange, sum(n) AS n FROM (SELECT * FROM cells UNION ALL SELECT -1, 100, m FROM m UNION ALL SELECT -1, 0, m * (m - 1) - (SELECT sum(n) FROM cells) FROM m) GROUP BY ALL)
-SELECT round(coupling, 6) AS coupling, cochange, CAST(sum(n) AS BIGINT) AS n FROM al GROUP BY ALL""")
+al AS (SELECT CAST(coupling AS DOUBLE) AS coupling, CAST(cochange AS DOUBLE) AS cochange, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT * FROM cells UNION ALL SELECT -1, 100, m FROM m UNION ALL SELECT -1, 0, m * (m - 1) - (SELECT sum(n) FROM cells) FROM m) GROUP BY ALL)"""
+
+
+@query(f"WITH {_CELLS} SELECT * FROM al")
 def q_evaluation_cells(spark, d):
-    cells = evaluate.dense_cells(*_evaluated(spark, d))
-    return cells.groupBy(F.round("coupling", 6).alias("coupling"), "cochange").agg(F.sum("n").alias("n"))
+    return evaluate.dense_cells(*_evaluated(spark, d))
 
 
 def _evaluated(spark, d):
     ids = fixtures.table(spark, d, "part").select("p_partkey", fixtures.part_path().alias("id"))
     pairs = history.cochange(fixtures.changes(spark, d))
     named = pairs.join(ids.select(F.col("p_partkey").alias("file1"), F.col("id").alias("a")), "file1").join(ids.select(F.col("p_partkey").alias("file2"), F.col("id").alias("b")), "file2")
-    return cut(_coupling(spark, d).withColumn("score", F.round("score", 9))), cut(named.select(F.col("a").alias("file1"), F.col("b").alias("file2"), "co", "pct")), ids.select("id")
+    return cut(_coupling(spark, d).withColumn("score", F.round("score", 6))), cut(named.select(F.col("a").alias("file1"), F.col("b").alias("file2"), "co", "pct")), ids.select("id")
 
 
-@query(None)
+@query(f"""WITH {_CELLS}, c AS (SELECT cochange AS v, sum(n) AS t, coalesce(sum(n) FILTER (coupling > 0), 0) AS t1 FROM al WHERE coupling <> -1 GROUP BY 1),
+r AS (SELECT *, coalesce(sum(t) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c),
+a AS (SELECT CAST(sum(t1) AS BIGINT) AS n1, CAST(sum(t - t1) AS BIGINT) AS n0, CAST(sum(t1 * (b + (t + 1) / 2.0::DOUBLE)) AS DOUBLE) AS r1, CAST(sum(CAST(t AS DOUBLE) * t * t - t) AS DOUBLE) AS ties FROM r),
+u AS (SELECT n1, n0, r1 - n1 * (n1 + 1.0::DOUBLE) / 2 AS u1, ties, CAST(n1 + n0 AS DOUBLE) AS n FROM a),
+z AS (SELECT *, (u1 - n1 * n0::DOUBLE / 2 - 0.5) / sqrt(n1 * n0::DOUBLE / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u),
+s AS (SELECT sum(CASE WHEN (p.coupling - q.coupling) * (p.cochange - q.cochange) > 0 THEN CAST(p.n AS DOUBLE) * q.n WHEN (p.coupling - q.coupling) * (p.cochange - q.cochange) < 0 THEN -CAST(p.n AS DOUBLE) * q.n ELSE 0 END) / 2 AS s FROM al p CROSS JOIN al q),
+ta AS (SELECT sum(CAST(t AS DOUBLE) * (t - 1) / 2) AS v FROM (SELECT sum(n) AS t FROM al GROUP BY coupling)), tb AS (SELECT sum(CAST(t AS DOUBLE) * (t - 1) / 2) AS v FROM (SELECT sum(n) AS t FROM al GROUP BY cochange)), k AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM al)
+SELECT n1 AS u_n1, n0 AS u_n0, u1 AS u_u1, round(z, 6) AS u_z, CAST(k.n AS BIGINT) AS tau_n, round(s / sqrt((k.n * (k.n - 1) / 2 - ta.v) * (k.n * (k.n - 1) / 2 - tb.v)), 6) AS tau_tau FROM z, s, ta, tb, k""")
 def q_evaluation(spark, d):
-    return evaluate.evaluate(*_evaluated(spark, d))
+    return evaluate.evaluate(*_evaluated(spark, d)).select("u_n1", "u_n0", "u_u1", F.round("u_z", 6).alias("u_z"), "tau_n", F.round("tau_tau", 6).alias("tau_tau"))
 
 
 # --- links
