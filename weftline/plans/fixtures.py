@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import cut
 from weftline.shipping import ship
 
 
@@ -44,7 +45,7 @@ def definitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     Steps after the first of finished orders have a condition on the first step's output.
     """
     strings = "array<string>"
-    chain = chain_steps(spark, sf_dir)
+    chain = cut(chain_steps(spark, sf_dir))  # every table below reads it
     tools, wholes = tool_ids(spark, sf_dir), chain.groupBy("workflow_id").agg(F.max("pos").alias("last"))
     one = lambda df, c, k: df.select(F.col(c).alias("path"), F.lit(k).alias("class"), F.array().cast(strings).alias("base_command"), F.array().cast("array<struct<entryname:string,entry:string>>").alias("listing"))
     entities = one(tools, "component_id", "CommandLineTool").unionByName(one(wholes, "workflow_id", "Workflow"))
