@@ -15,7 +15,7 @@ from weftline.shipping import ship
 #: Rows of one long column that may be broadcast: 8 MB of payload. Callers count first and shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
