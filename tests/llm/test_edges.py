@@ -70,6 +70,15 @@ def test_near_dups(spark, docs, none):
         near_dups.link(spark, docs, 4, 70)
 
 
+def test_near_dups_with_several_texts_of_one_id(spark):
+    """One doc_id with three texts joins their groups; an empty text of it follows."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows_ = [(9, text("a")), (9, text("b")), (9, text("c")), (9, None), (3, text("b")), (5, text("c")), (11, text("a")), (12, text("d")), (13, text("d"))]
+    got = near_dups.link(spark, spark.createDataFrame(rows_, "doc_id long, text string"), 4).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(9, 3), (3, 3), (5, 3), (11, 3), (12, 12), (13, 12)}
+    assert {x["doc_id"] for x in got if x["kept"]} == {3, 12} and len(got) == len(rows_)
+
+
 def test_substring(spark, docs, none):
     got = substring_dedup.dedup(spark, docs).collect()
     assert len(got) == docs.count() and substring_dedup.dedup(spark, none).count() == 0

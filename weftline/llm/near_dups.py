@@ -126,11 +126,13 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     open_lists = _shared.table(spark, now.join(spread, "value", "left_semi"), "open")
     if not open_lists.isEmpty():
         links = links.union(_among_blocks(spark, open_lists, centres, docs, words, percent))
-    copies = sets.select("doc_id", "f1", "f2", "n").join(firsts.select("node", "f1", "f2", "n"), ["f1", "f2", "n"])
-    own = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    found = components(spark, links.union(own))
-    out = base.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # copies follow the node of their set, so that only nodes are linked; a doc_id with several sets links them
+    named = base.join(firsts.select("f1", "f2", "n", "node"), ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
+    several = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id")
+    own = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(spark, links.union(own)).withColumnRenamed("node", "at")
+    out = named.join(found, F.col("node") == F.col("at"), "left").withColumn("component_id", F.coalesce("component", "node"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _centres(lists: DataFrame) -> DataFrame:
