@@ -86,6 +86,8 @@ def test_labels(golden):
         else:
             wanted = ["wf"] if short(r["component_id"]) in ("wf", "A", "C") else ["S", "wf"]
             assert [short(w) for w in r["workflow_list"]] == wanted
+    assert {r["edge_id"]: r["workflow_list"] for r in flows.label_reached(nodes, edges).where("rel_type = 'DATA_FLOW'").collect()} == {r["edge_id"]: r["workflow_list"] for r in labelled.where("rel_type = 'DATA_FLOW'").collect()}
+    assert closure.call_edges(labelled, inputs, labelled=True).count() == 1 and closure.call_edges(edges, inputs, labelled=True).count() == 0
     assert [short(r["node"]) for r in closure.order(calls, workflows.withColumnRenamed("component_id", "node")).collect()] == ["wf", "S"]
 
 
@@ -103,6 +105,20 @@ def test_golden_flows_and_coupling(golden):
     assert sums == {"A": 2, "C": 4.5, "S": 7, "T": 5.5, "U": 6, "wf": 10}
 
 
+def test_labels_follow_calls(spark):
+    """A tool's input that only one of two workflows wires is labelled with that one."""
+    t = ("t", "CommandLineTool")
+    nodes = [("InParameter|t|a", "InParameter", *t), ("InParameter|t|b", "InParameter", *t), ("Component|t", "Component", "t", None), ("OutParameter|t|o", "OutParameter", *t)]
+    edges = [("InParameter|t|a", "Component|t", "t", "", "a"), ("InParameter|t|b", "Component|t", "t", "", "b"), ("Component|t", "OutParameter|t|o", "t", "", "o")]
+    for w, ps in (("v", "a"), ("w", "ab")):
+        nodes += [(f"InParameter|{w}|x", "InParameter", w, "Workflow")]
+        edges += [(f"InParameter|{w}|x", f"InParameter|t|{p}", w, "s", "x") for p in ps]
+    n = spark.createDataFrame(nodes, "node_id string, kind string, component_id string, component_type string")
+    e = spark.createDataFrame([("DATA_FLOW", *x, None) for x in edges], "rel_type string, src string, dst string, component_id string, step_id string, data_id string, workflow_list array<string>")
+    got = {(r["src"], r["dst"]): r["workflow_list"] for r in flows.label_reached(n, e).collect()}
+    assert got["InParameter|t|a", "Component|t"] == ["v", "w"] and got["InParameter|t|b", "Component|t"] == ["w"] and got["Component|t", "OutParameter|t|o"] == ["v", "w"]
+
+
 def random_graph(seed):
     """Nested workflows over tools with one or two inputs: (nodes, edges)."""
     rng = random.Random(seed)

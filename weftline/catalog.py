@@ -238,6 +238,36 @@ def q_outer_outputs(spark, d):
     return graph.outer_outputs(graph.build(entities, params, steps, inputs, "\\")[0], graph.tool_edges(used, entities)).select("node_id")
 
 
+@query(f"WITH {_GRAPH} SELECT e.edge_id, m.component_id, m.kind, m.component_type FROM e JOIN n m ON m.node_id = e.dst")
+def q_node_details(spark, d):
+    nodes, edges = _graph(spark, d)
+    found = graph.details(edges.select(F.col("dst").alias("node_id")).distinct(), nodes)
+    return edges.select("edge_id", F.col("dst").alias("node_id")).join(found, "node_id").select("edge_id", "component_id", "kind", "component_type")
+
+
+@query(f"WITH {_GRAPH} SELECT src, dst, component_id, edge_id FROM e WHERE rel_type = 'CONTROL_DEPENDENCY'")
+def q_control_edges(spark, d):
+    return graph.control_dependencies(_graph(spark, d)[1])
+
+
+@query(f"WITH {_STEPS}, {_NODES} SELECT component_id, node_id, component_type FROM n WHERE kind = 'InParameter' AND component_id IN (SELECT c FROM st)")
+def q_in_parameters_of_steps(spark, d):
+    return graph.parameters_of(fixtures.chain_steps(spark, d).select("component_id").distinct(), _graph(spark, d)[0], "InParameter").select("component_id", "node_id", "component_type")
+
+
+@query(f"WITH {_STEPS}, {_NODES} SELECT component_id, node_id, component_type FROM n WHERE kind = 'OutParameter' AND component_type = 'Workflow'")
+def q_out_parameters_of_workflows(spark, d):
+    nodes = _graph(spark, d)[0]
+    return graph.parameters_of(graph.workflow_ids(nodes), nodes, "OutParameter").select("component_id", "node_id", "component_type")
+
+
+@query(f"WITH {_GRAPH} SELECT edge_id, component_id AS workflow_list FROM e WHERE rel_type = 'DATA_FLOW' AND starts_with(src, 'InParameter|') AND component_id IN (SELECT w FROM wf)")
+def q_lists_from_inputs(spark, d):
+    nodes, edges = _graph(spark, d)
+    frontier = graph.parameters_of(graph.workflow_ids(nodes), nodes, "InParameter").select("node_id", "component_id")
+    return graph.lists_from(frontier, edges.withColumn("workflow_list", F.array("component_id"))).select("edge_id", F.array_join("workflow_list", ",").alias("workflow_list"))
+
+
 @query(f"WITH {_STEPS}, {_NODES} SELECT DISTINCT component_id FROM n WHERE kind = 'InParameter'")
 def q_all_component_ids(spark, d):
     return graph.component_ids(_graph(spark, d)[0])
@@ -299,6 +329,14 @@ def q_workflow_list(spark, d):
     return _labelled(spark, d).where("rel_type = 'DATA_FLOW'").select("edge_id", F.array_join("workflow_list", ",").alias("workflow_list"))
 
 
+@query(f"""WITH {_GRAPH}, l AS (SELECT c AS component_id, string_agg(w, ',' ORDER BY w) AS workflow_list FROM (SELECT DISTINCT w, c FROM st UNION SELECT w, w FROM wf) GROUP BY c)
+SELECT edge_id, coalesce(workflow_list, '') AS workflow_list FROM e LEFT JOIN l USING (component_id) WHERE rel_type = 'DATA_FLOW'""")
+def q_reached_workflow_list(spark, d):
+    nodes, edges = _graph(spark, d)
+    labelled = flows.label_reached(cut(nodes), cut(edges))
+    return labelled.where("rel_type = 'DATA_FLOW'").select("edge_id", F.array_join("workflow_list", ",").alias("workflow_list"))
+
+
 @query(f"WITH {_GRAPH} SELECT edge_id, component_id AS workflow_list FROM e WHERE rel_type = 'CONTROL_DEPENDENCY'")
 def q_control_first_data_edge(spark, d):
     return closure.label_control_edges(_labelled(spark, d)).where("rel_type = 'CONTROL_DEPENDENCY'").select("edge_id", F.array_join("workflow_list", ",").alias("workflow_list"))

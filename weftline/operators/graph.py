@@ -142,6 +142,26 @@ def workflow_ids(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'InParameter' and component_type = 'Workflow'").select("component_id").distinct()
 
 
+def details(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
+    """component_id, kind and component_type of the nodes a frontier (node_id) names."""
+    return frontier.select("node_id").join(nodes.select("node_id", "component_id", "kind", "component_type"), "node_id")
+
+
+def control_dependencies(edges: DataFrame) -> DataFrame:
+    """src, dst, component_id, edge_id of CONTROL_DEPENDENCY edges."""
+    return edges.where("rel_type = 'CONTROL_DEPENDENCY'").select("src", "dst", "component_id", "edge_id")
+
+
+def lists_from(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """workflow_list of the data edges that leave a frontier's (node_id, component_id) in that component."""
+    return frontier.join(edges.where("rel_type = 'DATA_FLOW'").select(F.col("src").alias("node_id"), "component_id", "edge_id", "workflow_list"), ["node_id", "component_id"])
+
+
+def parameters_of(components: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """node_id and component_type of the parameters, InParameter or OutParameter, of components (component_id)."""
+    return components.select("component_id").join(nodes.where(F.col("kind") == kind).select("component_id", "node_id", "component_type"), "component_id")
+
+
 def valid_connections(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges that leave a frontier's (node_id, component_id, step), in that component; a step admits only data of its outputs."""
     met = frontier.join(edges.withColumnRenamed("src", "node_id"), ["node_id", "component_id"])
