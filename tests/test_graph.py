@@ -105,6 +105,25 @@ def test_golden_flows_and_coupling(golden):
     assert sums == {"A": 2, "C": 4.5, "S": 7, "T": 5.5, "U": 6, "wf": 10}
 
 
+def test_analysis(spark, tmp_path):
+    from weftline.plans import analysis
+
+    root = tmp_path / "g" / "r"
+    root.mkdir(parents=True)
+    for name, entity in GOLDEN.items():
+        (root / name).write_text(yaml.safe_dump(entity))
+    (root / "Dockerfile").write_text("FROM x\nRUN git clone https://h/g/t.git /usr/local/bin\n")
+    a = analysis.analyse(spark, str(tmp_path))
+    assert {short(r["file"]): r["score"] for r in a.scores().collect()} == {"A": 2, "C": 4.5, "S": 7, "T": 5.5, "U": 6, "wf": 10}
+    assert {r["repo"]: (r["node_count"], r["edge_count"]) for r in a.sizes().collect()} == {"g/r": (17, 16), "total": (17, 16)}
+    known = analysis.known_links(spark, str(tmp_path), spark.createDataFrame([("https://h/g/t.git", "run.py")], "repo_url string, path string"))
+    nodes, edges = a.references(known)
+    assert nodes.count() == 1 and {short(r["component_id"]) for r in edges.collect()} == {"A", "C", "T", "U"}
+    commits = spark.createDataFrame([(str(i), [f"g/r/{x}.cwl" for x in c]) for i, c in enumerate(("AC", "TU", "ST", "TU"))], "id string, changed_files array<string>")
+    r = analysis.evaluate_repository(cut(a.coupling()), commits).first()
+    assert r["u_n1"] + r["u_n0"] == 20 and r["tau_n"] == 25
+
+
 def test_labels_follow_calls(spark):
     """A tool's input that only one of two workflows wires is labelled with that one."""
     t = ("t", "CommandLineTool")
