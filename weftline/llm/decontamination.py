@@ -108,13 +108,24 @@ class Index:
         return best
 
 
+class Block:
+    """Items as they are sent; a worker process makes their index once and keeps it for its later tasks."""
+
+    def __init__(self, items: list[tuple[int, str | None]]):
+        self.items, self.made = items, None
+
+    def index(self) -> Index:
+        self.made = self.made or Index(self.items)
+        return self.made
+
+
 def _against(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(Block(items))
 
     def run(batches):
         import pyarrow as pa
 
-        index = Index(shared.value)
+        index = shared.value.index()
         for batch in _shared.slices(batches):
             ids, texts = batch.column(0).to_pylist(), [normalised(t) for t in _shared.decoded(batch.column(1))]
             out = []
