@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 OPEN, AFTER_ROLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 LEARN = "assistant"
+#: Parts, and the side that has their turns.
+PARTS = {"prompt": "chosen", "chosen": "chosen", "rejected": "rejected"}
 #: Turns whose pieces one window places; their totals are placed by a second.
 BLOCK = 256
 
@@ -35,22 +37,27 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     said = F.struct(_clean(F.col("role")).alias("role"), _clean(F.col("text")).alias("text"))
     rows = turns.select(F.col("pair_id").cast("long"), "side", F.col("turn").cast("long"), said.alias("said")).where("pair_id is not null and turn is not null and side in ('chosen', 'rejected')")
     met = rows.groupBy("pair_id", "turn").agg(*(F.min(F.when(F.col("side") == s, F.col("said"))).alias(s) for s in ("chosen", "rejected")))
-    ends = met.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy("pair_id").agg(F.min("turn").alias("parts_at"))
-    both = met.join(ends, "pair_id", "left").withColumn("common", F.coalesce(F.col("turn") < F.col("parts_at"), F.lit(True)))
-    part = lambda name, side: F.struct(F.lit(name).alias("part"), F.col(f"{side}.role").alias("role"), F.col(f"{side}.text").alias("text"))
-    parts = F.when(F.col("common"), F.array(part("prompt", "chosen"))).otherwise(F.filter(F.array(part("chosen", "chosen"), part("rejected", "rejected")), lambda x: x["text"].isNotNull()))
-    pieces = both.select("pair_id", "turn", F.explode(parts).alias("p")).select("pair_id", "turn", "p.part", "p.role", F.concat(F.lit(OPEN), F.col("p.role"), F.lit(AFTER_ROLE)).alias("head"), "p.text")
-    pieces = pieces.select("pair_id", "part", "turn", "role", F.concat("head", "text", F.lit(CLOSE)).alias("piece"), F.length("head").cast("long").alias("head_length"))
-    pieces = pieces.withColumn("length", F.length("piece").cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    # texts move once, into this aggregation; where they go is worked out on their lengths and meets them there again
+    width = lambda side: (F.length(F.col(f"{side}.role")) + F.length(F.col(f"{side}.text")) + len(OPEN + AFTER_ROLE + CLOSE)).cast("long")
+    small = met.select("pair_id", "turn", (~F.col("chosen").eqNullSafe(F.col("rejected"))).alias("differs"), width("chosen").alias("chosen"), width("rejected").alias("rejected"))
+    ends = small.where("differs").groupBy("pair_id").agg(F.min("turn").alias("parts_at"))
+    both = small.join(ends, "pair_id", "left").withColumn("common", F.coalesce(F.col("turn") < F.col("parts_at"), F.lit(True)))
+    sizes = F.array(*(F.struct(F.lit(p).alias("part"), F.when(F.col("common") == (p == "prompt"), F.col(c)).alias("length")) for p, c in PARTS.items()))
+    lengths = both.select("pair_id", "turn", F.floor(F.col("turn") / BLOCK).alias("block"), F.explode(F.filter(sizes, lambda x: x["length"].isNotNull())).alias("p")).select("pair_id", "turn", "block", "p.part", "p.length")
     # places within blocks of turns, then of the blocks: a long conversation isn't one task's
-    blocks = pieces.groupBy("pair_id", "part", "block").agg(F.sum("length").alias("all"))
+    blocks = lengths.groupBy("pair_id", "part", "block").agg(F.sum("length").alias("all"))
     ahead = Window.partitionBy("pair_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("pair_id", "part", "block", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("pair_id", "part", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("inside", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(blocks, ["pair_id", "part", "block"])
+    placed = lengths.withColumn("inside", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(blocks, ["pair_id", "part", "block"]).withColumn("start", F.col("before") + F.col("inside"))
+    starts = placed.groupBy("pair_id", "turn").agg(*(F.max(F.when(F.col("part") == p, F.col("start"))).alias(f"{p}_start") for p in PARTS))
+    said_at = F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"{c}.role").alias("role"), F.col(f"{c}.text").alias("text"), F.col(f"{p}_start").alias("start")) for p, c in PARTS.items()))
+    pieces = met.join(starts, ["pair_id", "turn"]).select("pair_id", "turn", F.explode(F.filter(said_at, lambda x: x["start"].isNotNull())).alias("p")).select("pair_id", "turn", "p.*")
+    head = F.concat(F.lit(OPEN), F.col("role"), F.lit(AFTER_ROLE))
+    pieces = pieces.select("pair_id", "part", "turn", "role", F.concat(head, F.col("text"), F.lit(CLOSE)).alias("piece"), F.length(head).cast("long").alias("head_length"), "start").withColumn("length", F.length("piece").cast("long"))
     learn = (F.col("part") != "prompt") & (F.col("role") == LEARN)
-    return placed.select(
-        "pair_id", "part", "turn", "role", "piece", (F.col("before") + F.col("inside")).alias("start"), "length",
+    return pieces.select(
+        "pair_id", "part", "turn", "role", "piece", "start", "length",
         F.when(learn, F.col("head_length")).otherwise(F.lit(0)).alias("loss_start"), F.when(learn, F.col("length") - F.col("head_length")).otherwise(F.lit(0)).alias("loss_length"),
     )
 
