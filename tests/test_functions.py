@@ -21,7 +21,7 @@ def test_fold(spark, given_, wanted):
 
 
 def test_paths(spark):
-    assert one(spark, paths.clean_component_id(F.lit("repos\\RD\\LINC\\a.cwl"))) == "RD\\LINC\\a.cwl"
+    assert one(spark, paths.clean_component_id(F.lit("repos\\RD\\LIB\\a.cwl"))) == "RD\\LIB\\a.cwl"
     assert one(spark, paths.clean_component_id(F.lit("RD\\repos\\a"))) == "RD\\repos\\a"
     same = lambda a, b: one(spark, paths.same_repo(F.lit(a), F.lit(b)))
     assert (same("RD\\L\\a", "RD\\L\\b"), same("RD\\L\\a", "RD\\V\\a"), same("a", "a")) == (True, False, False)
