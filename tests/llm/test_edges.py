@@ -151,3 +151,14 @@ def test_stages(spark, docs, none, benchmark, tmp_path, empty):
         d = new
     assert d.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert empty == (d.count() == 0)
+
+
+def test_every_language_has_a_limit(spark):
+    """Few documents among many, and only short ones, still set a limit for their language."""
+    rows_ = [(i, f"aba cada bra {i % 7} " * 3, "x") for i in range(5000)] + [(5000 + i, f"zuzu momo {w} keke", "y") for i, w in enumerate(("pipi", "titi", "didi"))] + [(6000, "wyw", "z")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    model = language_id.train(spark, docs)
+    limits = language_id.calibrate(spark, docs, model)
+    assert set(limits) == {"x", "y", "z"} and all(0 < v < 20 for v in limits.values())
+    lang, *_, far = language_id.judge(model, ["zuzu momo pipi keke", "zuqv wzmk pkkq vvzz " * 20], limits)
+    assert lang[0] == "y" and not far[0] and far[1]

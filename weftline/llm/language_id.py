@@ -4,7 +4,7 @@ Counts of character n-grams per language cover every training document. Lower or
 characters precede a shorter n-gram), each order has its own discount n1 / (n1 + 2 n2), and the lowest interpolates with the
 uniform distribution. A model is a few sorted arrays of n-gram keys (twelve bits a character; characters beyond U+0FFF are hashed
 to twelve bits) with one column of probabilities per language. A text gets the language of the lowest cross-entropy per character;
-it is rejected if that is far above what the language's own training documents have.
+it is rejected if that is above what the language's own training documents have in a model of the others.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from weftline.llm import _shared
 ORDER = 4
 #: n-grams of the highest order that a model holds at most, over all languages; the rarest go first.
 MAX_ENTRIES = 2_000_000
-#: About so many training documents set the threshold of rejection.
-CALIBRATION_DOCS = 4_000
 #: Letters that count towards the confidence; more would only saturate it.
 CONFIDENT = 50
-#: Nats per character above a language's mean that are never rejected: texts in two languages, or with long quotations, stay below.
-MARGIN = 1.3
+#: Share of a language's documents that its limit of rejection keeps, of those that its model hasn't learnt from.
+QUANTILE = 0.999
+#: Nats per character to which limits are rounded up.
+BIN = 0.01
 UNKNOWN = "und"
 _BITS, _MASK, _SPACE, _PAD = 12, 4095, 32, 0
 _PAD_CHAR = chr(0x10FFFF)
@@ -221,8 +221,13 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, max_entries:
     return build({x: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for x, g in found.groupby("lang")}, order)
 
 
-def judge(model: Model, texts: list[str], limits: dict[str, tuple[float, float]] | None):
-    """(language, score, entropy, whether there is one, rejected) of each text."""
+def slack(letters: np.ndarray) -> np.ndarray:
+    """Nats per character by which a text of so many letters may differ by chance."""
+    return 4 / np.sqrt(np.maximum(letters, 1))
+
+
+def _best(model: Model, texts: list[str]):
+    """(language, score, entropy, whether there is one, letters) of each text."""
     names = np.array(model.langs, dtype=object)
     entropy, letters = model.entropies(texts)
     if not len(names):
@@ -233,18 +238,23 @@ def judge(model: Model, texts: list[str], limits: dict[str, tuple[float, float]]
     weight = np.exp(-(entropy - low[:, None]) * np.minimum(letters, CONFIDENT)[:, None])
     certain = np.where(known, 1 / weight.sum(axis=1), 0.0)
     lang = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+    return lang, certain, low, known, letters
+
+
+def judge(model: Model, texts: list[str], limits: dict[str, float] | None):
+    """(language, score, entropy, whether there is one, rejected) of each text."""
+    lang, certain, low, known, letters = _best(model, texts)
     far = ~known
     if limits is not None:
-        mean, dev = (np.array([limits.get(x, (np.inf, 0.0))[i] for x in lang]) for i in (0, 1))
-        far = far | (low > mean + np.maximum(MARGIN, 8 * dev) + 4 / np.sqrt(np.maximum(letters, 1)))
+        far = far | (low > np.array([limits.get(x, np.inf) for x in lang]) + slack(letters))
     return lang, certain, low, known, far
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str, float] | None = None) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected, one row per row of ``docs``.
 
     A text that is null or has no letter is ``und`` with score 0, and rejected. Ties go to the language that sorts first.
-    ``limits``: mean and deviation of the entropy by language; without it only ``und`` is rejected. Without a language to choose
+    ``limits``: those of calibrate(); without them only ``und`` is rejected. Without a language to choose
     from everything is ``und``.
     """
     shared = spark.sparkContext.broadcast(model)
@@ -259,7 +269,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str,
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
-def accepted(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str, tuple[float, float]]) -> DataFrame:
+def accepted(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[str, float]) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns."""
     shared = spark.sparkContext.broadcast(model)
 
@@ -273,13 +283,56 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model, limits: dict[st
     return docs.mapInArrow(run, docs.schema)
 
 
-def calibrate(spark: SparkSession, docs: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
-    """Mean and deviation of the entropy of each language's training documents, from about CALIBRATION_DOCS of them."""
-    some = docs.where(F.col("lang").isNotNull())
-    share = min(1.0, CALIBRATION_DOCS / max(1, some.count()))
-    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    own = score(spark, some.where(F.length("text") >= 200), model).where("entropy is not null")
-    return {r[0]: (r[1], r[2] or 0.0) for r in own.groupBy("lang_pred").agg(F.avg("entropy"), F.stddev_pop("entropy")).collect()}
+def calibrate(spark: SparkSession, docs: DataFrame, model: Model) -> dict[str, float]:
+    """The limit of each language of ``model``: what its training documents have where they weren't learnt from.
+
+    All documents with a lang are dealt to two halves by their texts, so that copies stay together, and each half is scored by the
+    models of the other. The limit is the QUANTILE of entropy less slack(letters) over those recognised as what they are. A language
+    with too few of them to have that quantile gets its mean plus the quantile of the distances to the means over all languages, if
+    that is more. No limit is below the mean entropy, so that long texts pass where only short ones set it. A language with none has
+    the largest limit of the others, or else the entropy of the uniform distribution.
+    """
+    known = docs.where(F.col("lang").isNotNull()).withColumn("half", F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(2)))
+    shared = spark.sparkContext.broadcast([train(spark, known.where(F.col("half") != i)) for i in range(2)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in _shared.slices(batches):
+            texts, langs, halves = _shared.decoded(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, other in enumerate(shared.value):
+                mine = [j for j, h in enumerate(halves) if h == i]
+                lang, _, low, real, letters = _best(other, [texts[j] for j in mine])
+                kept = [j for j, k in enumerate(mine) if real[j] and lang[j] == langs[k]]
+                yield pa.RecordBatch.from_arrays([pa.array([lang[j] for j in kept], pa.string()), pa.array(low[kept], pa.float64()), pa.array(low[kept] - slack(letters[kept]), pa.float64())], names=["lang", "entropy", "above"])
+
+    own = known.select(F.col("text").cast("string"), F.col("lang").cast("string"), "half").mapInArrow(run, "lang string, entropy double, above double")
+    bins = own.groupBy("lang", F.ceil(F.col("above") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("many"), F.sum("above").alias("total"), F.sum("entropy").alias("entropy")).collect()
+    return _limits(model, [tuple(r) for r in bins])
+
+
+def _limits(model: Model, bins: list[tuple[str, int, int, float, float]]) -> dict[str, float]:
+    """The limits of calibrate() from (lang, bin, documents, sum of entropy less slack, sum of entropy); bins end at multiples of BIN."""
+
+    def quantile(values: list[tuple[float, int]]) -> float:
+        passed, wanted = 0, QUANTILE * sum(n for _, n in values)
+        for value, n in sorted(values):
+            passed += n
+            if passed >= wanted:
+                break
+        return value
+
+    by_lang: dict[str, list[tuple[int, int, float, float]]] = {}
+    for lang, *one in bins:
+        by_lang.setdefault(lang, []).append(tuple(one))
+    many = {x: sum(n for _, n, *_ in of) for x, of in by_lang.items()}
+    mean = {x: sum(t for _, _, t, _ in of) / many[x] for x, of in by_lang.items()}
+    out = {x: quantile([(b * BIN, n) for b, n, *_ in of]) for x, of in by_lang.items()}
+    if out:
+        apart = quantile([(b * BIN - mean[x], n) for x, of in by_lang.items() for b, n, *_ in of])
+        out = {x: max(y, mean[x] + apart) if many[x] * (1 - QUANTILE) < 1 else y for x, y in out.items()}
+        out = {x: max(y, sum(e for *_, e in by_lang[x]) / many[x]) for x, y in out.items()}
+    return {x: out.get(x, max(out.values(), default=-np.log(model.uniform))) for x in model.langs}
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
