@@ -162,3 +162,13 @@ def test_every_language_has_a_limit(spark):
     assert set(limits) == {"x", "y", "z"} and all(0 < v < 20 for v in limits.values())
     lang, *_, far = language_id.judge(model, ["zuzu momo pipi keke", "zuqv wzmk pkkq vvzz " * 20], limits)
     assert lang[0] == "y" and not far[0] and far[1]
+
+
+def test_models_hold_all_grams(spark):
+    """A rare language beside a frequent one stays, and how many n-grams are collected at a time changes nothing."""
+    rows_ = [(i, "the cat sat on the mat and the dog ran to the man", "x") for i in range(50)] + [(99, "zuzu momo", "y")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    one, many = language_id.train(spark, docs), language_id.train(spark, docs, language_id.ORDER, 20)
+    assert one.langs == many.langs == ["x", "y"]
+    for n in range(1, language_id.ORDER + 1):
+        assert (one.keys[n] == many.keys[n]).all() and (one.probabilities[n] == many.probabilities[n]).all() and (one.gammas[n] == many.gammas[n]).all()

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from weftline.llm import _shared
 
 ORDER = 4
-#: n-grams of the highest order that a model holds at most, over all languages; the rarest go first.
-MAX_ENTRIES = 2_000_000
+#: n-grams of the highest order, about, that are collected at a time; a model holds all there are.
+COLLECTED = 2_000_000
 #: Letters that count towards the confidence; more would only saturate it.
 CONFIDENT = 50
 #: Share of a language's documents that its limit of rejection keeps, of those that its model hasn't learnt from.
@@ -204,21 +204,16 @@ def remainder(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string")), F.lit(modulus))
 
 
-def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Model:
-    """Counts every whole text of ``docs`` that has a lang, and collects at most ``max_entries`` n-grams of them."""
+def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, collected: int = COLLECTED) -> Model:
+    """Counts every whole text of ``docs`` that has a lang; the model holds all n-grams, collected about ``collected`` at a time."""
     counts = _shared.table(spark, count_grams(docs.where(F.col("lang").isNotNull()), order), "grams")
-    least, total = 1, 0
-    sizes = {r["n"]: r["many"] for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("many")).collect()}
-    for n in sorted(sizes, reverse=True):
-        if total + sizes[n] > max_entries and total:
-            least = n + 1
-            break
-        total += sizes[n]
-    kept = counts.where(F.col("n") >= least)
-    if total > max_entries:
-        kept = kept.orderBy(F.desc("n"), "lang", "gram").limit(max_entries)
-    found = kept.toPandas()
-    return build({x: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for x, g in found.groupby("lang")}, order)
+    passes = max(1, -(-counts.count() // collected))
+    held: dict[str, list] = {}
+    for i in range(passes):
+        some = counts if passes == 1 else counts.where(F.pmod(F.xxhash64("lang", "gram"), F.lit(passes)) == i)
+        for x, g in some.toPandas().groupby("lang"):
+            held.setdefault(x, []).append((g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)))
+    return build({x: (np.concatenate([k for k, _ in of]), np.concatenate([n for _, n in of])) for x, of in held.items()}, order)
 
 
 def slack(letters: np.ndarray) -> np.ndarray:
