@@ -353,3 +353,10 @@ def test_slices(spark):
             yield b
 
     assert df.mapInArrow(run, df.schema).agg(F.sum(F.length("text"))).first()[0] == sum(i * 700_000 for i in range(30))
+
+
+def test_documents_shorter_than_items(spark):
+    words = [f"w{i}" for i in range(59)]
+    texts = [" ".join(words[:n]) for n in (55, 50, 45, 59)]
+    got = decontamination.contaminated(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 7, 51 / 55, 0, 55), (1, 7, 46 / 55, 0, 50), (3, 7, 1.0, 0, 59)]

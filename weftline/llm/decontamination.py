@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are lower-cased and bounded by space or ASCII punctuation; shingles are five words. For each item, windows of its own number of
-words slide over every whole document. A window as similar as asked holds at least a fixed share of benchmark shingles, so windows with
+words slide over every whole document; a document of fewer words is itself the one window. A window as similar as asked holds at least a fixed share of benchmark shingles, so windows with
 fewer are passed over without loss. The others get 64-bit SimHash fingerprints, whose eight blocks find all items within RADIUS bits:
 two fingerprints that differ in no more than RADIUS bits differ in no more than RADIUS // 8 within some block. What is found is
 verified by the exact weighted Jaccard similarity of the shingles, weighted by how often each occurs.
@@ -84,15 +84,16 @@ class Index:
         sums = np.append(0, np.cumsum(known))
         for m, (items, codes, near, counts) in self.long.items():
             n = m - SHINGLE + 1
-            if len(shingles) < n:
+            width = min(n, len(shingles))  # of a shorter document, all
+            if width < SIMILARITY * n - 1e-9:
                 continue
-            # weighted Jaccard s of two bags of n means at least 2 s / (1 + s) of n in common
-            least = int(np.ceil(n * 2 * SIMILARITY / (1 + SIMILARITY) - 1e-9))
-            starts = np.flatnonzero(sums[n:] - sums[:-n] >= least)
+            # weighted Jaccard s of two bags means at least s / (1 + s) of both sizes together in common
+            least = int(np.ceil((n + width) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+            starts = np.flatnonzero(sums[width:] - sums[:-width] >= least)
             step = max(1, _BATCH // max(1, len(items)))
             for a in range(0, len(starts), step):
                 some = starts[a : a + step]
-                code = fingerprints(shingles, some, n)
+                code = fingerprints(shingles, some, width)
                 parts = code.view(np.uint8).reshape(-1, 8)
                 probed = np.zeros((len(some), len(items)), bool)
                 for j in range(BLOCKS):
@@ -100,11 +101,11 @@ class Index:
                 for x, y in zip(*np.nonzero(probed), strict=True):
                     if np.bitwise_count(code[x] ^ codes[y]) > RADIUS:
                         continue
-                    window = Counter(shingles[some[x] : some[x] + n].tolist())
+                    window = Counter(shingles[some[x] : some[x] + width].tolist())
                     shared = (window & counts[y]).total()
-                    s = shared / (2 * n - shared)
+                    s = shared / (n + width - shared)
                     if s >= SIMILARITY and s > best.get(items[y], (0.0,))[0]:
-                        best[items[y]] = (s, int(some[x]), m)
+                        best[items[y]] = (s, int(some[x]), width + SHINGLE - 1)
         return best
 
 
