@@ -355,6 +355,22 @@ def test_slices(spark):
     assert df.mapInArrow(run, df.schema).agg(F.sum(F.length("text"))).first()[0] == sum(i * 700_000 for i in range(30))
 
 
+def test_secrets_inside_runs():
+    import base64
+
+    rng = np.random.default_rng(2)
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    sec1 = tlv(0x30, tlv(2, b"\1"), tlv(4, rng.bytes(32)), tlv(0xA0, tlv(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+    point = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48\xce\x3d\x02\x01"), tlv(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")), tlv(3, b"\0\2" + rng.bytes(32)))
+    token = f"{url(b'{"alg":"HS256"}')}.{url(b'{"sub":"1"}')}.{url(rng.bytes(32))}"
+    pretty = f"{url(b'{\n  "alg": "HS256"\n}')}.{url(b'{"sub":"1"}')}.{url(rng.bytes(32))}"
+    for kind, secret in (("private_key", base64.b64encode(sec1).decode()), ("public_key", base64.b64encode(point).decode()), ("signed_token", token), ("signed_token", pretty)):
+        for before, after in (("", ""), ("https://host.example.com/verify/", " x"), ("v1/k-", ".")):
+            assert secret_scan.confirmed_spans(before + secret + after) == [(kind, len(before), len(before) + len(secret))], (before, secret)
+    assert secret_scan.confirmed_spans(f"/{token}/next") == [("signed_token", 1, 1 + len(token))]
+    assert secret_scan.confirmed_spans(f"0x{sec1.hex()}") == [("private_key", 2, 2 + 2 * len(sec1))]
+
+
 def test_documents_shorter_than_items(spark):
     words = [f"w{i}" for i in range(59)]
     texts = [" ".join(words[:n]) for n in (55, 50, 45, 59)]

@@ -29,8 +29,13 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{40,}={0,2}")
-_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{24,}={0,2}")
+#: Base64 of "{" and any next byte, and what may follow from there on in the alphabet of tokens.
+_HEAD = re.compile(r"e[w-z0-9+/_-]")
+_TOKENS = tuple(re.compile(rf"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){{{n}}}") for n in (4, 2))
+#: Base64 of a sequence's tag and length (24 bytes or more), and of the first field of an OpenSSH key.
+_KEY = re.compile(r"M[B-I]|AAAA[BCE]|b3BlbnNzaC1rZXktdjEA")
+_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0?[xX])?([0-9A-Fa-f]{48,})(?![0-9A-Za-z])")
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _SEQUENCE, _INTEGER, _BITS, _OCTETS, _OID, _NULL = 0x30, 0x02, 0x03, 0x04, 0x06, 0x05
 
@@ -161,24 +166,59 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         if block < len(taken) and taken[block][0] <= m.start():
             continue
         run = m[0]
-        if run.startswith("ey") and "." in run:
-            for whole in dict.fromkeys((run, run.rstrip("."))):  # an unsigned token ends in a dot, and so may a sentence
-                if is_signed_token(whole):
-                    out.append(("signed_token", m.start(), m.start() + len(whole)))
-                    break
-            continue
-        if run[:2] in ("MI", "MC", "ME", "MF", "MH", "MG", "AA", "b3") and "." not in run.rstrip("."):
-            run = run.rstrip(".")
-            data = decode(run)
-            kind = data and (key_kind(data) or ssh_kind(data))
-            if kind:
-                out.append((kind, m.start(), m.start() + len(run)))
+        tokens = _tokens(run)
+        out += [("signed_token", m.start() + a, m.start() + b) for a, b in tokens]
+        out += [(k, m.start() + a, m.start() + b) for k, a, b in _keys(run) if not any(x < b and a < y for x, y in tokens)]
     for m in _ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0][:2] in ("30", "00", "6f", "6F"):
-            data = bytes.fromhex(m[0])
+        if len(m[1]) % 2 == 0 and m[1][:2] in ("30", "00", "6f", "6F"):
+            data = bytes.fromhex(m[1])
             kind = key_kind(data) or ssh_kind(data)
             if kind:
-                out.append((kind, *m.span()))
+                out.append((kind, *m.span(1)))
+    return out
+
+
+def _tokens(run: str) -> list[tuple[int, int]]:
+    """Signed tokens that start anywhere in a run; one at its start may go on to its end, others end where their alphabet does, if they can."""
+    out, at, last = [], 0, run.rfind(".")
+    while at < last and (m := _HEAD.search(run, at, last)):
+        at = m.start() + 1
+        dot = run.find(".", m.start())
+        # a header of more is none to is_signed_token(); its first bytes have to be "{" and white space, a quote or the zero of a wider code
+        first = decode(run[m.start() : m.start() + 4]) if dot - m.start() >= 4 and dot - m.start() <= 90_000 else None
+        if not first or first[:1] != b"{" or first[1] not in b" \t\r\n\"\0":
+            continue
+        rest = run[m.start() :]
+        whole, strict = [rest, rest.rstrip(".")], [found[0] for p in _TOKENS if (found := p.match(rest))]
+        for one in dict.fromkeys(strict + whole if m.start() else whole + strict):  # an unsigned token ends in a dot, and so may a sentence
+            if is_signed_token(one):
+                out.append((m.start(), m.start() + len(one)))
+                at = m.start() + len(one)
+                break
+    return out
+
+
+def _keys(run: str) -> list[tuple[str, int, int]]:
+    """Keys in base64 that start anywhere between the dots of a run and end at the next one."""
+    out, begin = [], 0
+    for part in run.split("."):
+        at = 0
+        while m := _KEY.search(part, at):
+            at = m.start() + 1
+            if m[0][0] == "M":  # the length that the outermost sequence states is that of what is left
+                head = decode(part[m.start() : m.start() + 8]) or b""
+                if len(head) < 6:
+                    continue
+                n = head[1] & 0x7F
+                size = 2 + n + int.from_bytes(head[2 : 2 + n]) if head[1] & 0x80 else 2 + n
+                if size != len(part[m.start() :].rstrip("=")) * 3 // 4:
+                    continue
+            data = decode(part[m.start() :])
+            kind = data and (key_kind(data) or ssh_kind(data))
+            if kind:
+                out.append((kind, begin + m.start(), begin + len(part)))
+                break
+        begin += len(part) + 1
     return out
 
 
