@@ -376,3 +376,11 @@ def test_documents_shorter_than_items(spark):
     texts = [" ".join(words[:n]) for n in (55, 50, 45, 59)]
     got = decontamination.contaminated(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == [(0, 7, 51 / 55, 0, 55), (1, 7, 46 / 55, 0, 50), (3, 7, 1.0, 0, 59)]
+
+
+def test_language_left_out(spark, data):
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.1") + "/documents.parquet").select("doc_id", "text", "lang").repartition(4)
+    learn = docs.where((language_id.remainder(3) != 1) & (F.col("lang") != "en"))
+    model = language_id.train(spark, learn)
+    got = language_id.score(spark, docs.where((F.col("lang") == "en") & (F.col("doc_id") % 4 == 0)), model, language_id.calibrate(spark, learn, model))
+    assert got.where("not rejected").count() < 0.2 * got.count()
