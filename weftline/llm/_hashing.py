@@ -1,8 +1,8 @@
 """Hashes of words and of runs of words, for whole batches of texts at once.
 
-A text is a byte string in UTF-8; the separators are ASCII, so bytes are enough. Hashes of a run come from prefix sums of a
-polynomial modulo 2**64 (odd base, so powers have inverses) and a final mixing; every position costs a few vector operations,
-whatever the length of the run.
+A text is a byte string in UTF-8; the separators are ASCII, so bytes are enough. A word's hash is the mixed sum of one random 64-bit
+number for each of its bytes and their places; a run's hash joins those of its halves by a multiplication and a mixing, so
+no run of words has the algebra of a polynomial. Two independent hashes of every word are there where 128 bits are wanted.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ import numpy as np
 
 #: Bytes hashed at a time: intermediate arrays have eight bytes for each of them.
 PIECE = 1 << 18
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _U = np.uint64
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_JOIN, _PLACE, _SALTS = _U(0xD6E8FEB86659FD93), _U(0x9E3779B97F4A7C15), (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
+#: Places in a word whose numbers are looked up; those further back are worked out.
+_NEAR = 32
+_tables: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,24 +36,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, PIECE + 1024)
-        inverse = pow(base, -1, 1 << 64)
-        up, down = (np.full(size, x, _U) for x in (base, inverse))
-        up[0] = down[0] = 1
-        have = _powers[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
+def _numbers(key: np.ndarray, salt: int) -> np.ndarray:
+    """The random number of each (place << 8 | byte)."""
+    return mix((key.astype(_U) + _U(1)) * _PLACE ^ _SALTS[salt])
 
 
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """The polynomial hash of values[s:e] for every pair, not mixed."""
-    up, down = _powers_of(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+def _words(b: np.ndarray, at: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """The hashes of words whose bytes are b[at], at ``place`` in their word; word i has size[i] bytes from at[first[i]] on."""
+    if salt not in _tables:
+        _tables[salt] = _numbers(np.arange(_NEAR << 8), salt)
+    key = (place << 8) | b[at]
+    found = _tables[salt][np.minimum(key, (_NEAR << 8) - 1)]
+    far = np.flatnonzero(place >= _NEAR)
+    if len(far):
+        found[far] = _numbers(key[far], salt)
+    return mix(np.add.reduceat(found, first) + size.astype(_U) * _JOIN)
 
 
 def _pieces(texts: list[bytes | None], separators: np.ndarray):
@@ -99,9 +98,9 @@ def _word_end(text: bytes, at: int, separators: np.ndarray) -> int:
     return len(text)
 
 
-def word_hashes(texts: list[bytes | None], lower: bool, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the words of text i are hashes[bounds[i]:bounds[i + 1]], in order."""
-    found, counts = [], np.zeros(len(texts) + 1, np.int64)
+def word_hashes(texts: list[bytes | None], lower: bool, separators: np.ndarray = SPACE, salts: tuple[int, ...] = (0,)):
+    """(hashes, ..., bounds), hashes once for each salt: the words of text i are hashes[bounds[i]:bounds[i + 1]], in order."""
+    found, counts = [[] for _ in salts], np.zeros(len(texts) + 1, np.int64)
     for buffer, at in _pieces(texts, separators):
         b = np.frombuffer(buffer, np.uint8)
         if lower:
@@ -111,12 +110,29 @@ def word_hashes(texts: list[bytes | None], lower: bool, separators: np.ndarray =
         edge[0], edge[-1] = word[0], word[-1]
         np.not_equal(word[1:], word[:-1], out=edge[1:-1])
         edges = np.flatnonzero(edge)
-        starts, ends = edges[::2], edges[1::2]
-        h = _runs(b.astype(_U) + _U(1), starts, ends, _BYTE_BASE)
-        found.append(mix(h + (ends - starts).astype(_U) * _U(0x632BE59BD9B4E019)))
+        starts, size = edges[::2], edges[1::2] - edges[::2]
+        if len(starts):
+            first = np.cumsum(size) - size
+            inside = np.flatnonzero(word)
+            place = np.arange(len(inside)) - np.repeat(first, size)
+            for out, salt in zip(found, salts, strict=True):
+                out.append(_words(b, inside, place, first, size, salt))
         marks = np.searchsorted(starts, [s for _, s in at] + [len(b)])
         np.add.at(counts, [i + 1 for i, _ in at], np.diff(marks))
-    return (np.concatenate(found) if found else np.zeros(0, _U)), np.cumsum(counts)
+    return (*(np.concatenate(of) if of else np.zeros(0, _U) for of in found), np.cumsum(counts))
+
+
+def _every_run(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k hashes from each place on where there are as many: halves are joined, then halves of halves."""
+    join = lambda a, b: mix(a * _JOIN + b)
+    power, size, out, covered = hashes, 1, None, 0
+    while True:
+        if k & size:
+            out = power if out is None else join(power[: len(hashes) - covered - size + 1], out[size:])
+            covered += size
+        if 2 * size > k:
+            return out if k > 1 else mix(out ^ _PLACE)
+        power, size = join(power[:-size], power[size:]), 2 * size
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +144,15 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     if not out[-1]:
         return np.zeros(0, _U), out
     starts = np.arange(out[-1]) + np.repeat(bounds[:-1] - out[:-1], many)
-    return mix(_runs(hashes, starts, starts + k, _WORD_BASE) + _U(k)), out
+    return _every_run(hashes, k)[starts], out
 
 
-def whole(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One hash for all words of each text."""
-    n = np.diff(bounds)
-    return mix(_runs(hashes, bounds[:-1], bounds[1:], _WORD_BASE) + n.astype(_U) * _U(0x9FB21C651E98DF25))
+def runs(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One hash for hashes[first[i]:first[i] + size[i]], for every i; sizes are 1 or more."""
+    begin = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(begin, size)
+    each = mix(hashes[np.repeat(first, size) + place] + (place + 1).astype(_U) * _PLACE)
+    return mix(np.add.reduceat(each, begin) + size.astype(_U) * _JOIN) if len(size) else np.zeros(0, _U)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +162,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     h, out = windows(hashes, bounds, k)
     if not len(short):
         return h, out
-    ones = whole(hashes, bounds)[short]
-    return np.insert(h, out[short], ones), out + np.searchsorted(short, np.arange(len(out)))
+    return np.insert(h, out[short], runs(hashes, bounds[short], n[short])), out + np.searchsorted(short, np.arange(len(out)))
 
 
 def positive(h: np.ndarray) -> np.ndarray:

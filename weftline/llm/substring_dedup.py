@@ -25,14 +25,13 @@ _U = np.uint64
 
 
 def _paths(texts: list[bytes | None], window: int, k: int):
-    """(minimizer hash, window hashes, text number, start, windows) arrays of the paths of some texts; the second is by window."""
-    words, bounds = _hashing.word_hashes(texts, lower=False)
-    whole, first = _hashing.windows(words, bounds, window)
-    if not len(whole):
+    """(minimizer hash, text number, start, windows, number of the first window) arrays of the paths of some texts, and the bounds and second hashes of words."""
+    words, others, bounds = _hashing.word_hashes(texts, lower=False, salts=(0, 1))
+    many = np.maximum(np.diff(bounds) - window + 1, 0)
+    if not many.any():
         return None
-    n = np.diff(first)
-    text = np.repeat(np.arange(len(texts)), n)
-    start = np.arange(len(whole)) - first[text]
+    text = np.repeat(np.arange(len(texts)), many)
+    start = np.arange(len(text)) - (np.cumsum(many) - many)[text]
     kmers, _ = _hashing.windows(words, np.array([0, len(words)]), k)
     # smallest by 32 bits of hash, then leftmost: the place is in the low bits
     key = (kmers & _U(0xFFFFFFFF00000000)) | np.arange(len(kmers), dtype=_U)
@@ -43,7 +42,7 @@ def _paths(texts: list[bytes | None], window: int, k: int):
         key = np.minimum(key[: len(key) - (span - have)], key[span - have :])
     place = (key[bounds[text] + start] & _U(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    return kmers[place[new]], whole, text[new], start[new], np.diff(np.append(new, len(whole))), new, words, bounds
+    return kmers[place[new]], text[new], start[new], np.diff(np.append(new, len(text))), new, bounds, others
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -93,20 +92,20 @@ def paths(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k: int = M
                 found = _paths(texts[a:b], window, k)
                 if not found:
                     continue
-                minimizer, whole, text, start, many, at, words, bounds = found
+                minimizer, text, start, many, at, bounds, others = found
                 slot = _slot(minimizer)
                 keep = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
                 if not len(keep):
                     continue
-                begin = bounds[text[keep]] + start[keep]
-                path = _hashing.mix(_hashing._runs(words, begin, begin + many[keep] + window - 1, _hashing._WORD_BASE) + many[keep].astype(_U))
                 size = many[keep]
+                whole = _hashing.windows(others, bounds, window)[0]
+                path = _hashing.runs(whole, at[keep], size)
                 inside = np.repeat(at[keep] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array((whole[inside] >> _U(32)).astype(np.uint32).view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(whole[inside].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text[keep]]), pa.array(bodies[a:b][text[keep]]), pa.array(minimizer[keep].view(np.int64)), pa.array(path.view(np.int64)), pa.array(start[keep].astype(np.int64)), pa.array(size.astype(np.int32)), lists], names=["doc_id", "body", "minimizer", "path", "start", "windows", "hashes"])
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("body"), "text")
-    return rows.mapInArrow(run, "doc_id long, body long, minimizer long, path long, start long, windows int, hashes array<int>")
+    return rows.mapInArrow(run, "doc_id long, body long, minimizer long, path long, start long, windows int, hashes array<long>")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> DataFrame:
