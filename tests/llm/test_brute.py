@@ -384,3 +384,30 @@ def test_language_left_out(spark, data):
     model = language_id.train(spark, learn)
     got = language_id.score(spark, docs.where((F.col("lang") == "en") & (F.col("doc_id") % 4 == 0)), model, language_id.calibrate(spark, learn, model))
     assert got.where("not rejected").count() < 0.2 * got.count()
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    """Two words, and two runs of words, that every polynomial modulo 2**64 with an odd base takes for one."""
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    h, _ = _hashing.word_hashes([f"{x} {y}".encode()], False)
+    assert h[0] != h[1]
+    rest = " ".join(f"w{i}" for i in range(25))
+    texts = {1: f"{rest} {x}", 2: f"{rest} {y}", 3: x, 4: y, 5: f"{rest} {x}"}
+    texts |= {i: " ".join(w for c in thue_morse(2048, p, q) for w in (c,)) for i, p, q in ((8, "a", "b"), (9, "b", "a"))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = shingle_sets(texts, 4)
+    assert {r["doc_id"]: r["component_id"] for r in near_dups.link(spark, df, 4).collect()} == brute_components(sets)
+    assert {r[0]: tuple(r)[1:] for r in substring_dedup.dedup_digest(spark, df).collect()} == brute_dedup(texts)
+
+
+def test_sets_in_parts(spark, docs, texts, monkeypatch):
+    """Sets of many rows, and cells of few nodes, give what whole sets give."""
+    wanted = brute_components(shingle_sets(texts, 4))
+    monkeypatch.setattr(near_dups, "PART", 50)
+    monkeypatch.setattr(near_dups, "BLOCK_NODES", 3)
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 400)
+    assert {r["doc_id"]: r["component_id"] for r in near_dups.link(spark, docs, 4).collect()} == wanted

@@ -5,7 +5,9 @@ that two or more nodes retain make inverted lists; a pair as similar as asked sh
 sketch only the rarest K - T + 1 values need a list, and what a third of all documents have in common lands in no list of theirs.
 Every node is first paired with the most central one of its lists (that whose retained values are shared most), which joins groups
 of copies with one pair per member; lists that still hold different components are then compared in blocks. Pairs whose union
-sketch estimates too little similarity drop out, and the rest are confirmed on the full sets.
+sketch estimates too little similarity drop out, and the rest are confirmed on the full sets. Full sets are made from the texts
+where they are wanted and meet in cells of bounded size: a centre with some of its members, or two blocks, so that a centre of
+many members is sent once to each of its cells and no task holds more than a cell.
 """
 
 from __future__ import annotations
@@ -17,18 +19,23 @@ from pyspark.sql import functions as F
 from weftline.llm import _hashing, _shared
 from weftline.llm.components import components
 
-#: Retained values; those that similar sets share at least. P(fewer | Jaccard 0.8) is 4.2e-6 for nested sets (binomial).
-SKETCH, SHARED = 64, 36
+#: Retained values; those that similar sets share at least. P(fewer | Jaccard 0.8) is 9.2e-10 for nested sets (binomial).
+SKETCH, SHARED = 64, 30
 #: Nodes, and shingles of their sets, in a block of those that are compared with one another.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 400_000
+#: Shingles of a set that one row carries.
+PART = 32_768
 
 
 def _sets(texts: list[bytes | None], words: int):
+    """(the set's hashes ascending, 64 bits that name it by them, 64 bits that name it by a second hash of its words) of each text."""
     for a, b in _hashing.groups(texts):
-        h, bounds = _hashing.shingles(*_hashing.word_hashes(texts[a:b], lower=True), words)
-        h = _hashing.positive(h)
+        one, two, bounds = _hashing.word_hashes(texts[a:b], lower=True, salts=(0, 1))
+        h, first = _hashing.shingles(one, bounds, words)
+        h, other = _hashing.positive(h), _hashing.mix(_hashing.shingles(two, bounds, words)[0])
         for i in range(b - a):
-            yield np.unique(h[bounds[i] : bounds[i + 1]])
+            s, at = np.unique(h[first[i] : first[i + 1]], return_index=True)
+            yield s, int(_hashing.mix(s.astype(np.uint64)).sum().astype(np.int64)), int(other[first[i] + at].sum().astype(np.int64))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -39,11 +46,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in _shared.slices(batches):
             n, f1, f2, kept = [], [], [], []
-            for s in _sets(_shared.texts_of(batch.column(1)), words):
+            for s, x, y in _sets(_shared.texts_of(batch.column(1)), words):
                 n.append(len(s))
-                u = s.astype(np.uint64)
-                f1.append(int(_hashing.mix(u).sum().astype(np.int64)))
-                f2.append(int(_hashing.mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)))
+                f1.append(x)
+                f2.append(y)
                 kept.append(s[:SKETCH])
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(kept) if kept else [], pa.int64()))
@@ -53,28 +59,62 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, shingles (all hashes of the set, ascending)."""
+    """node, f1, shingles: all hashes of each set, PART of them to a row."""
 
     def run(batches):
         import pyarrow as pa
 
+        def batch_of(rows):
+            offsets = np.concatenate([[0], np.cumsum([len(s) for _, _, s in rows])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([s for _, _, s in rows]), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int64()), pa.array([f for _, f, _ in rows], pa.int64()), lists], names=["node", "f1", "shingles"])
+
         for batch in _shared.slices(batches):
-            ids, sets = batch.column(0).to_pylist(), []
-            for i, s in enumerate(_sets(_shared.texts_of(batch.column(1)), words)):
-                sets.append((ids[i], s))
-                if len(sets) >= 256:
-                    yield _batch(sets)
-                    sets = []
-            if sets:
-                yield _batch(sets)
-
-    def _batch(sets):
-        import pyarrow as pa
+            ids, rows, size = batch.column(0).to_pylist(), [], 0
+            for i, (s, f, _) in enumerate(_sets(_shared.texts_of(batch.column(1)), words)):
+                for at in range(0, len(s), PART):
+                    rows.append((ids[i], f, s[at : at + PART]))
+                    size += len(rows[-1][2])
+                    if size >= 4 * PART:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    return docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).mapInArrow(run, "node long, f1 long, shingles array<long>")
+
+
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """full_sets() joined to ``wanted`` (node and more, a stored table) by node; where few nodes are wanted, other texts aren't hashed."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    nodes = wanted.select(F.col("node").alias("doc_id")).distinct()
+    if nodes.count() <= _shared.BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(nodes), "doc_id", "left_semi")
+    return full_sets(docs, words).join(wanted, "node")
+
+
+def _items(cell):
+    """(node, first, component, set) arrays of what a cell's rows hold; the parts of a set become one again."""
+    parts: dict[tuple, list] = {}
+    for node, f1, first, component, s in zip(cell["node"], cell["f1"], cell["first"], cell["component"], cell["shingles"], strict=True):
+        parts.setdefault((node, f1, bool(first), component), []).append(s)
+    keys = list(parts)
+    sets = [np.unique(np.concatenate(parts[k])) for k in keys]
+    return np.array([k[0] for k in keys], np.int64), np.array([k[2] for k in keys], bool), np.array([k[3] for k in keys], np.int64), sets
+
+
+def _compared(rows: DataFrame, cell: list[str], percent: int) -> DataFrame:
+    """a, b: links between first and other sets of each cell whose components differ; without first ones, between all."""
+
+    def compare(group):
+        import pandas as pd
 
-        offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in sets])])
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([s for _, s in sets]), pa.int64()))], names=["node", "shingles"])
+        ids, first, component, sets = _items(group)
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        found = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in _links_between(sets, a if len(a) else b, b, component, percent)}
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).mapInArrow(run, "node long, shingles array<long>")
+    return rows.select(*cell, "node", "f1", "first", "component", "shingles").groupBy(*cell).applyInPandas(compare, "a long, b long")
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
@@ -82,24 +122,21 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _confirmed(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) that union sketches don't rule out and full sets confirm."""
-    one = nodes.select("node", "n", "sketch")
-    side = lambda x: one.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("n_a"), F.col("n_b"), percent))
+def _near_centres(spark: SparkSession, centres: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: links between nodes and their centres that union sketches don't rule out and full sets confirm."""
+    pairs = centres.where((F.col("node") != F.col("centre")) & _alike(F.col("n"), F.col("centre_n"), percent))
+    both = pairs.join(nodes.select("node", "n", "sketch"), ["node", "n"]).join(nodes.select(F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("sketch").alias("other")), ["centre", "centre_n"])
     # of the union's smallest K values, those that both hold; K is all of them where both sets are whole
-    union = F.array_sort(F.array_union("sketch_a", "sketch_b"))
-    whole = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
-    held = F.size(F.array_intersect(F.when(whole, union).otherwise(F.slice(union, 1, SKETCH)), F.array_intersect("sketch_a", "sketch_b")))
-    likely = F.when(whole, held * 100 >= F.size(union) * percent).otherwise(held >= F.least(F.lit(SHARED), F.floor(F.least("n_a", "n_b") * SHARED / SKETCH)))
-    likely = _shared.table(spark, both.where(likely).select("a", "b", "n_a", "n_b").distinct(), f"{name}-likely")
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    if wanted.count() <= _shared.BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = _shared.table(spark, full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == wanted["node"], "left_semi"), words), f"{name}-sets")
-    met = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    inner = F.size(F.array_intersect("x", "y")).cast("long")
-    return _shared.table(spark, met.where(inner * 100 >= (F.size("x") + F.size("y") - inner) * percent).select("a", "b").distinct(), f"{name}-links")
+    union = F.array_sort(F.array_union("sketch", "other"))
+    whole = (F.col("n") <= SKETCH) & (F.col("centre_n") <= SKETCH)
+    held = F.size(F.array_intersect(F.when(whole, union).otherwise(F.slice(union, 1, SKETCH)), F.array_intersect("sketch", "other")))
+    likely = F.when(whole, held * 100 >= F.size(union) * percent).otherwise(held >= F.least(F.lit(SHARED), F.floor(F.least("n", "centre_n") * SHARED / SKETCH)))
+    likely = _shared.table(spark, both.where(likely).select("node", "n", "centre").distinct(), "likely")
+    sizes = likely.groupBy("centre").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).alias("chunks"))
+    members = likely.join(sizes, "centre").select("node", "centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(False).alias("first"))
+    heads = members.select(F.col("centre").alias("node"), "centre", "chunk", F.lit(True).alias("first")).distinct()
+    wanted = _shared.table(spark, members.unionByName(heads).withColumn("component", F.col("node")), "cells")
+    return _shared.table(spark, _compared(_wanted_sets(docs, wanted, words), ["centre", "chunk"], percent).distinct(), "links")
 
 
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -118,8 +155,7 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     nodes = _shared.table(spark, sets.select(F.col("doc_id").alias("node"), "f1", "f2", "n", "sketch").join(firsts.select("node", "f1", "f2", "n"), ["node", "f1", "f2", "n"]).distinct(), "nodes")
     lists = _shared.table(spark, _lists(nodes, percent), "lists")
     centres = _shared.table(spark, _centres(lists), "centres")
-    pairs = centres.where((F.col("node") != F.col("centre")) & _alike(F.col("n"), F.col("centre_n"), percent)).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = _confirmed(spark, pairs, nodes, docs, words, percent, "centres")
+    links = _near_centres(spark, centres, nodes, docs, words, percent)
     found = components(spark, links)
     now = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = now.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("value")
@@ -157,27 +193,10 @@ def _among_blocks(spark: SparkSession, open_lists: DataFrame, centres: DataFrame
     x, y = (seen.select("value", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high"))) for k in "ab")
     fits = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
     cells = _shared.table(spark, x.join(y, "value").where((F.col("block_a") <= F.col("block_b")) & fits).select("block_a", "block_b").distinct(), "cells")
-    wanted = members.select("node").distinct()
-    if wanted.count() <= _shared.BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = _shared.table(spark, full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == wanted["node"], "left_semi"), words), "open-sets")
-    rows = members.select("node", "component", "block").join(sets, "node")
-    side = lambda mine: cells.join(rows, F.col(mine) == F.col("block")).select("block_a", "block_b", F.lit(mine == "block_a").alias("first"), "node", "component", "shingles")
-    both = side("block_a").unionByName(side("block_b").where("block_a <> block_b"))
-
-    def compare(cell):
-        import pandas as pd
-
-        sets, component, ids = cell["shingles"].to_list(), cell["component"].to_numpy(), cell["node"].to_numpy()
-        same = cell["block_a"].iat[0] == cell["block_b"].iat[0]
-        a = np.flatnonzero(cell["first"].to_numpy())
-        b = a if same else np.flatnonzero(~cell["first"].to_numpy())
-        out = []
-        for i, j in _links_between(sets, a, b, component, percent):
-            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    return _shared.table(spark, both.groupBy("block_a", "block_b").applyInPandas(compare, "a long, b long").distinct(), "block-links")
+    side = lambda mine: cells.join(members, F.col(mine) == F.col("block")).select("block_a", "block_b", F.lit(mine == "block_a").alias("first"), "node", "component")
+    both = side("block_a").where("block_a <> block_b").unionByName(side("block_b").withColumn("first", F.lit(False)))
+    wanted = _shared.table(spark, both, "meetings")
+    return _shared.table(spark, _compared(_wanted_sets(docs, wanted, words), ["block_a", "block_b"], percent).distinct(), "block-links")
 
 
 def _links_between(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, component: np.ndarray, percent: int):
