@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple, object] = {}
 
 
 def default_vocabulary() -> str:
@@ -29,7 +29,10 @@ def _fast(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    model, special = spec["model"], {x["content"] for x in spec.get("added_tokens") or ()}
+    model, added = spec["model"], spec.get("added_tokens") or ()
+    special = {x["content"]: x["id"] for x in added}
+    if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
     if model["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
         return None
     byte = _byte_of()
@@ -37,26 +40,29 @@ def _fast(path: str):
     merged = [model["vocab"].get("".join(x.split(" ") if isinstance(x, str) else x)) for x in model["merges"]]
     if None in merged or merged != sorted(merged) or len(ranks) != 256 + len(merged):
         return None  # the order of merges isn't the order of ids
-    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
 
+def encoder(path: str, special: bool = True):
+    """text -> uint32 ids, none added at the ends. Kept by worker process.
 
-def encoder(path: str):
-    """text -> uint32 ids without special tokens; their strings in a text are ordinary text. Kept by worker process."""
-    if path not in _loaded:
+    A special token's string in a text is that token, as by the library's plain call; without ``special`` it is ordinary text.
+    """
+    if (path, special) not in _loaded:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
+        slow.encode_special_tokens = not special
         by_file = lambda text: np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
         fast = _fast(path)
 
         def encode(text: str) -> np.ndarray:
             try:
-                return fast.encode_to_numpy(text, disallowed_special=())
+                return fast.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=())
             except BaseException as e:  # its regular expressions can run out of stack on very long runs of spaces
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
                 return by_file(text)
 
-        _loaded[path] = encode if fast else by_file
-    return _loaded[path]
+        _loaded[path, special] = encode if fast else by_file
+    return _loaded[path, special]

@@ -5,7 +5,7 @@ partition p of P has the number i * P + p, below P * 2**32. A keyed Feistel netw
 domain, walked along its cycle until it falls inside, permutes the numbers; the global slot of a sequence is its rank by permuted
 number. The permuted numbers spread evenly, so equal ranges of them are even partitions, and their counts shift local ranks to slots.
 Every slot is written as a record of one stride, so slot s lies in shard s // S at byte (s % S) * stride: a reader can start
-anywhere and go on sequentially. A shard that two partitions share has two files, in the order of their names.
+anywhere and go on sequentially. A shard that two partitions share has two files, in the order of their numbers.
 
 Numbering needs no count beforehand, so the texts are tokenised once and the ids are moved once: the shuffle that the counting job
 makes is what the writing job reads (an RDD, since two jobs on one DataFrame would each make their own).
@@ -16,6 +16,7 @@ last), and the byte 0x0A. Spark's writer commits the shards, so lost tasks leave
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -68,7 +69,7 @@ def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> Da
         import zstandard
         from pyspark import TaskContext
 
-        encode, part, pack = _tokens.encoder(vocabulary), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1).compress
+        encode, part, pack = _tokens.encoder(vocabulary, special=False), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1).compress
         held, size, first, stops, local = [], 0, [], [], 0  # ids not cut yet; (place among them, doc_id, ids before that place) of their documents; places where documents end
 
         def cuts(last: bool):
@@ -109,8 +110,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, key: int, voca
     slot, shard, record (its number in the shard), part and local (where the sequence was cut), n_ids, ids_crc32, doc_id and
     doc_start: whose id comes first and how many ids of that document precede it. Null texts are empty: they give ``end_id`` alone.
     Repeated rows are written each, a null doc_id stays null, other columns aren't read. An empty table gives no shard. ids must
-    be below 65536.
+    be below 65536. A special token's string in a text is ordinary text, so that only ends of documents have ``end_id``.
     """
+    _shared.prepare(spark)
     rows = _sequences(docs, vocabulary or _tokens.default_vocabulary(), end_id, length).rdd
     parts = max(1, rows.getNumPartitions())
     domain = parts << 32
@@ -170,7 +172,7 @@ def read_slots(spark: SparkSession, path: str, start: int, stop: int, length: in
     size = stride(length)
     for k in range(start // shard, -(-stop // shard)):
         files = spark.read.format("binaryFile").load(f"{path}/shard={k}").select("path", "content").collect()
-        data = b"".join(bytes(content) for _, content in sorted((f[0].rsplit("/", 1)[1], f[1]) for f in files))
+        data = b"".join(bytes(content) for _, content in sorted((int(re.search(r"part-(\d+)", f[0].rsplit("/", 1)[1])[1]), f[1]) for f in files))
         for s in range(max(start, k * shard), min(stop, (k + 1) * shard)):
             at = (s - k * shard) * size
             if at >= len(data):
