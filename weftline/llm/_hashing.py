@@ -54,8 +54,8 @@ def _words(b: np.ndarray, at: np.ndarray, place: np.ndarray, first: np.ndarray,
 
 
 def _pieces(texts: list[bytes | None], separators: np.ndarray):
-    """(buffer, [(text number, start in buffer)]): texts joined by spaces to about PIECE bytes; longer ones are cut where a word ends."""
-    parts, at, size = [], [], 0
+    """(buffer, [(text number, start in buffer)]): texts joined by a separator to about PIECE bytes; longer ones are cut where a word ends."""
+    parts, at, size, glue = [], [], 0, bytes([np.flatnonzero(separators)[0]])
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -67,14 +67,14 @@ def _pieces(texts: list[bytes | None], separators: np.ndarray):
                 cut = np.flatnonzero(separators[view])
                 end = begin + PIECE + int(cut[0]) if len(cut) else min(n, _word_end(text, begin + 2 * PIECE, separators))
             if size and size + end - begin > PIECE:
-                yield b" ".join(parts), at
+                yield glue.join(parts), at
                 parts, at, size = [], [], 0
             at.append((i, size))
             parts.append(text[begin:end] if begin or end < n else text)
             size += end - begin + 1
             begin = end
     if parts:
-        yield b" ".join(parts), at
+        yield glue.join(parts), at
 
 
 def groups(texts: list[bytes | None], size: int = 4 * PIECE):

@@ -217,14 +217,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, seed: int
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     """Fits on about ``sample`` labelled rows at most, chosen by a hash of doc_id, never on those whose remainder modulo 5 is 0."""
+    _shared.prepare(spark)
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & (remainder(5) != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     share = min(1.0, sample / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
     # at most about ``sample`` rows of two numbers: safe to send everywhere, and no text moves
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").drop("doc_id")
-    found = with_statistics(rows, "label", "int").toPandas()
-    return fit(found[list(FEATURES)].to_numpy(float), found["label"].to_numpy(float))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").select((F.col("doc_id") * 2 + F.col("label")).alias("key"), "text")
+    found = with_statistics(rows, "key", "long").toPandas().sort_values(["key", *FEATURES], kind="stable")  # in one order, whatever the partitions
+    return fit(found[list(FEATURES)].to_numpy(float), (found["key"] % 2).to_numpy(float))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
