@@ -2,8 +2,8 @@
 
 Counts of character n-grams per language cover every training document. Lower orders use continuation counts (how many different
 characters precede a shorter n-gram), each order has its own discount n1 / (n1 + 2 n2), and the lowest interpolates with the
-uniform distribution. A model is a few sorted arrays of n-gram keys (twelve bits a character; characters beyond U+0FFF are hashed
-to twelve bits) with one column of probabilities per language. A text gets the language of the lowest cross-entropy per character;
+uniform distribution. A model is a few sorted arrays of n-gram keys (sixteen bits a character; letters beyond U+FFFF share the
+codes of the private use area) with one column of probabilities per language. A text gets the language of the lowest cross-entropy per character;
 it is rejected if that is above what the language's own training documents have in a model of the others.
 """
 
@@ -28,26 +28,34 @@ QUANTILE = 0.999
 #: Nats per character to which limits are rounded up.
 BIN = 0.01
 UNKNOWN = "und"
-_BITS, _MASK, _SPACE, _PAD = 12, 4095, 32, 0
+_BITS, _SPACE, _PAD = 16, 32, 0
 _PAD_CHAR = chr(0x10FFFF)
 _CHUNK = 1 << 18
 _folds: list[np.ndarray] = []
+_letters: list[np.ndarray] = []
 
 
 def _fold() -> np.ndarray:
-    """Code point -> twelve bits: letters and marks in lower case, everything else a space."""
+    """Code point -> sixteen bits: letters and marks in lower case, everything else a space."""
     if not _folds:
-        out = np.full(0x110000, _SPACE, np.int16)
+        out = np.full(0x110000, _SPACE, np.uint16)
         for i in range(0x110000):
             c = chr(i)
             if unicodedata.category(c)[0] in "LM":
                 x = ord(c.lower()[0])
-                out[i] = x if x < 4096 else 4000 + x * 2654435761 % 96 if x < 0x2000 else 33 + x * 2654435761 % 4063
+                out[i] = x if x < 0x10000 else 0xE000 + x * 2654435761 % 0x1900
         out[0x10FFFF] = _PAD
         _folds.append(out)
     return _folds[0]
 
 
+def _is_letter() -> np.ndarray:
+    """Whether a code point is a letter; a mark alone is none."""
+    if not _letters:
+        _letters.append(np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000))
+    return _letters[0]
+
+
 def _chunks(texts: list[str]):
     """(numbers of texts, the texts) of about _CHUNK characters; longer texts are cut, each part with the same number. Accents are composed first."""
     ids, parts, size = [], [], 0
@@ -71,7 +79,7 @@ def _grams(parts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
     pad = _PAD_CHAR * (order - 1)
     codes = np.frombuffer((pad + pad.join(parts)).encode("utf-32-le", "replace"), np.uint32)
     m = _fold()[codes].astype(np.int64)
-    part = np.repeat(np.arange(len(parts)), [len(p) + order - 1 for p in parts])
+    every = part = np.repeat(np.arange(len(parts)), [len(p) + order - 1 for p in parts])
     keep = np.ones(len(m), bool)
     keep[1:] = (m[1:] != _SPACE) | (m[:-1] != _SPACE)
     m, part = m[keep], part[keep]
@@ -79,7 +87,9 @@ def _grams(parts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
     for i in range(order):
         key[i:] |= m[: len(m) - i] << (_BITS * i)
     real = m != _PAD
-    return key[real], part[real], np.bincount(part[real & (m != _SPACE)], minlength=len(parts))
+    letter = _is_letter()[codes]
+    letter[codes == ord(_PAD_CHAR)] = False
+    return key[real], part[real], np.bincount(every[letter], minlength=len(parts))
 
 
 def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +216,7 @@ def remainder(modulus: int) -> Column:
 
 def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, collected: int = COLLECTED) -> Model:
     """Counts every whole text of ``docs`` that has a lang; the model holds all n-grams, collected about ``collected`` at a time."""
+    _shared.prepare(spark)
     counts = _shared.table(spark, count_grams(docs.where(F.col("lang").isNotNull()), order), "grams")
     passes = max(1, -(-counts.count() // collected))
     held: dict[str, list] = {}
