@@ -10,7 +10,7 @@ verified by the exact weighted Jaccard similarity of the shingles, weighted by h
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +22,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 23
 #: Bytes of benchmark text that one pass over the documents sends to the executors; a larger benchmark takes more passes.
 BLOCK_BYTES = 32 << 20
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
-_BATCH = 1 << 24
+_NEAR = [np.flatnonzero(x) for x in np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS]
+_BATCH = 1 << 22
 
 
 def normalised(text: str | None) -> bytes:
@@ -44,6 +44,29 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray
     return out
 
 
+class Blocks:
+    """Inverted lists of the codes of one length: for each block of bits and each of its values the items that have it."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        parts = codes.view(np.uint8).reshape(-1, BLOCKS)
+        self.lists = [np.argsort(parts[:, j], kind="stable").astype(np.int32) for j in range(BLOCKS)]
+        self.starts = [np.searchsorted(parts[o, j], np.arange(257)) for j, o in enumerate(self.lists)]
+
+    def within(self, code: np.uint64) -> np.ndarray:
+        """The items within RADIUS bits of ``code``, ascending: every one of them differs in RADIUS // BLOCKS bits at most in some block."""
+        probed = [of[starts[v] : starts[v + 1]] for byte, of, starts in zip(np.array([code]).view(np.uint8), self.lists, self.starts, strict=True) for v in _NEAR[byte]]
+        found = np.unique(np.concatenate(probed))
+        return found[np.bitwise_count(self.codes[found] ^ code) <= RADIUS]
+
+
+def _weighted(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two bags of shingles."""
+    keys, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.bincount(both[: len(a)], minlength=len(keys)), np.bincount(both[len(a) :], minlength=len(keys))
+    return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+
+
 class Index:
     """The items of one block, by their number of words."""
 
@@ -66,9 +89,8 @@ class Index:
                     table[int(whole[at[i]])].append(item)
                 self.short[m] = (np.array(sorted(table), np.uint64), dict(table))
             else:
-                codes = np.array([fingerprints(shingles, first[i : i + 1], m - SHINGLE + 1)[0] for _, i in of])
-                near = [_NEAR[:, codes.view(np.uint8).reshape(-1, 8)[:, j]] for j in range(BLOCKS)]
-                self.long[m] = ([item for item, _ in of], codes, near, [Counter(shingles[first[i] : first[i + 1]].tolist()) for _, i in of])
+                codes = fingerprints(shingles, first[[i for _, i in of]], m - SHINGLE + 1)
+                self.long[m] = ([item for item, _ in of], Blocks(codes), [shingles[first[i] : first[i + 1]] for _, i in of])
 
     def matches(self, words: np.ndarray, shingles: np.ndarray, known: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of its best window in one document; ties to the earliest."""
@@ -82,7 +104,7 @@ class Index:
         if not known.any():
             return best
         sums = np.append(0, np.cumsum(known))
-        for m, (items, codes, near, counts) in self.long.items():
+        for m, (items, blocks, bags) in self.long.items():
             n = m - SHINGLE + 1
             width = min(n, len(shingles))  # of a shorter document, all
             if width < SIMILARITY * n - 1e-9:
@@ -90,22 +112,14 @@ class Index:
             # weighted Jaccard s of two bags means at least s / (1 + s) of both sizes together in common
             least = int(np.ceil((n + width) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
             starts = np.flatnonzero(sums[width:] - sums[:-width] >= least)
-            step = max(1, _BATCH // max(1, len(items)))
-            for a in range(0, len(starts), step):
-                some = starts[a : a + step]
-                code = fingerprints(shingles, some, width)
-                parts = code.view(np.uint8).reshape(-1, 8)
-                probed = np.zeros((len(some), len(items)), bool)
-                for j in range(BLOCKS):
-                    probed |= near[j][parts[:, j]]
-                for x, y in zip(*np.nonzero(probed), strict=True):
-                    if np.bitwise_count(code[x] ^ codes[y]) > RADIUS:
-                        continue
-                    window = Counter(shingles[some[x] : some[x] + width].tolist())
-                    shared = (window & counts[y]).total()
-                    s = shared / (n + width - shared)
+            found: dict[int, np.ndarray] = {}
+            for x, code in zip(starts.tolist(), fingerprints(shingles, starts, width), strict=True):
+                if int(code) not in found:
+                    found[int(code)] = blocks.within(code)
+                for y in found[int(code)].tolist():
+                    s = _weighted(shingles[x : x + width], bags[y])
                     if s >= SIMILARITY and s > best.get(items[y], (0.0,))[0]:
-                        best[items[y]] = (s, int(some[x]), width + SHINGLE - 1)
+                        best[items[y]] = (s, x, width + SHINGLE - 1)
         return best
 
 
@@ -120,6 +134,21 @@ class Block:
         return self.made
 
 
+def _found(index: Index, texts: list[bytes]) -> list[dict[int, tuple[float, int, int]]]:
+    """Index.matches() of each text."""
+    out: list[dict] = []
+    for a, b in _hashing.groups(texts):
+        words, bounds = _hashing.word_hashes(texts[a:b], True, _hashing.LOOSE)
+        shingles, first = _hashing.windows(words, bounds, SHINGLE)
+        at = np.minimum(np.searchsorted(index.known, shingles), max(len(index.known) - 1, 0))
+        known = index.known[at] == shingles if len(index.known) else np.zeros(len(shingles), bool)
+        sums = np.append(0, np.cumsum(known))
+        for i in range(b - a):
+            wanted = index.short or sums[first[i + 1]] > sums[first[i]]
+            out.append(index.matches(words[bounds[i] : bounds[i + 1]], shingles[first[i] : first[i + 1]], known[first[i] : first[i + 1]]) if wanted else {})
+    return out
+
+
 def _against(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Block(items))
 
@@ -129,23 +158,37 @@ def _against(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
         index = shared.value.index()
         for batch in _shared.slices(batches):
             ids, texts = batch.column(0).to_pylist(), [normalised(t) for t in _shared.decoded(batch.column(1))]
-            out = []
-            for a, b in _hashing.groups(texts):
-                words, bounds = _hashing.word_hashes(texts[a:b], True, _hashing.LOOSE)
-                shingles, first = _hashing.windows(words, bounds, SHINGLE)
-                at = np.minimum(np.searchsorted(index.known, shingles), max(len(index.known) - 1, 0))
-                known = index.known[at] == shingles if len(index.known) else np.zeros(len(shingles), bool)
-                sums = np.append(0, np.cumsum(known))
-                wanted = range(b - a) if index.short else np.flatnonzero(sums[first[1:]] > sums[first[:-1]])
-                for i in wanted:
-                    found = index.matches(words[bounds[i] : bounds[i + 1]], shingles[first[i] : first[i + 1]], known[first[i] : first[i + 1]])
-                    out += [(ids[a + i], item, s, x, m) for item, (s, x, m) in sorted(found.items())]
+            out = [(i, item, s, x, m) for i, of in zip(ids, _found(index, texts), strict=True) for item, (s, x, m) in sorted(of.items())]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, similarity double, start long, n_words long")
 
 
+def _without(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Block(items))
+
+    def run(batches):
+        import pyarrow as pa
+
+        index = shared.value.index()
+        for batch in _shared.slices(batches):
+            texts = [normalised(t) for t in _shared.decoded(batch.column(batch.schema.get_field_index("text")))]
+            yield batch.filter(pa.array([not of for of in _found(index, texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame):
+    """The benchmark's items, about BLOCK_BYTES of their texts at a time, whatever its size."""
+    _shared.prepare(spark)
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    for i in range(passes):
+        block = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
+        yield sorted(tuple(r) for r in block.collect())
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words: the best window (start in words) of each item that a document holds.
 
@@ -153,11 +196,19 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     fewer than five words matches where the same words stand. Null texts hold nothing; repeated documents give their rows each;
     a null doc_id stays null. Other columns aren't read. With an empty table on either side there are no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     out = None
-    for i in range(passes):
-        block = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        found = _against(docs, sorted(tuple(r) for r in block.collect()))  # about BLOCK_BYTES, whatever the benchmark's size
+    for items in _blocks(spark, benchmark):
+        found = _against(docs, items)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in whose ``text`` contaminated() finds nothing, with all their columns.
+
+    Each row is judged by its own text, so rows without doc_id and rows that share one are treated like others. Null and empty texts
+    stay. With an empty benchmark all rows do.
+    """
+    for items in _blocks(spark, benchmark):
+        docs = _without(docs, items)
+    return docs
