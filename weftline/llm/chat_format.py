@@ -36,23 +36,26 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     """
     said = F.struct(_clean(F.col("role")).alias("role"), _clean(F.col("text")).alias("text"))
     rows = turns.select(F.col("pair_id").cast("long"), "side", F.col("turn").cast("long"), said.alias("said")).where("pair_id is not null and turn is not null and side in ('chosen', 'rejected')")
-    met = rows.groupBy("pair_id", "turn").agg(*(F.min(F.when(F.col("side") == s, F.col("said"))).alias(s) for s in ("chosen", "rejected")))
-    # texts move once, into this aggregation; where they go is worked out on their lengths and meets them there again
+    # texts move once, to the block of turns they belong to; whatever follows keeps that partitioning and brings small tables to it
+    keys = ["pair_id", "block"]
+    met = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0))).repartition(*keys).groupBy(*keys, "turn").agg(*(F.min(F.when(F.col("side") == s, F.col("said"))).alias(s) for s in ("chosen", "rejected")))
+    met = met.withColumn("differs", ~F.col("chosen").eqNullSafe(F.col("rejected")))
     width = lambda side: (F.length(F.col(f"{side}.role")) + F.length(F.col(f"{side}.text")) + len(OPEN + AFTER_ROLE + CLOSE)).cast("long")
-    small = met.select("pair_id", "turn", (~F.col("chosen").eqNullSafe(F.col("rejected"))).alias("differs"), width("chosen").alias("chosen"), width("rejected").alias("rejected"))
-    ends = small.where("differs").groupBy("pair_id").agg(F.min("turn").alias("parts_at"))
-    both = small.join(ends, "pair_id", "left").withColumn("common", F.coalesce(F.col("turn") < F.col("parts_at"), F.lit(True)))
-    sizes = F.array(*(F.struct(F.lit(p).alias("part"), F.when(F.col("common") == (p == "prompt"), F.col(c)).alias("length")) for p, c in PARTS.items()))
-    lengths = both.select("pair_id", "turn", F.floor(F.col("turn") / BLOCK).alias("block"), F.explode(F.filter(sizes, lambda x: x["length"].isNotNull())).alias("p")).select("pair_id", "turn", "block", "p.part", "p.length")
-    # places within blocks of turns, then of the blocks: a long conversation isn't one task's
-    blocks = lengths.groupBy("pair_id", "part", "block").agg(F.sum("length").alias("all"))
-    ahead = Window.partitionBy("pair_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("pair_id", "part", "block", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("pair_id", "part", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lengths.withColumn("inside", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(blocks, ["pair_id", "part", "block"]).withColumn("start", F.col("before") + F.col("inside"))
-    starts = placed.groupBy("pair_id", "turn").agg(*(F.max(F.when(F.col("part") == p, F.col("start"))).alias(f"{p}_start") for p in PARTS))
-    said_at = F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"{c}.role").alias("role"), F.col(f"{c}.text").alias("text"), F.col(f"{p}_start").alias("start")) for p, c in PARTS.items()))
-    pieces = met.join(starts, ["pair_id", "turn"]).select("pair_id", "turn", F.explode(F.filter(said_at, lambda x: x["start"].isNotNull())).alias("p")).select("pair_id", "turn", "p.*")
+    small = met.select(*keys, "turn", "differs", width("chosen").alias("chosen"), width("rejected").alias("rejected"))
+    # by block: its first turn that differs, and what its turns before and from there on add up to
+    at = small.groupBy(*keys).agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("own"))
+    ends = at.groupBy("pair_id").agg(F.min("own").alias("parts_at"))
+    common = F.coalesce(F.col("turn") < F.col("parts_at"), F.lit(True))
+    of = {p: F.coalesce(F.when(common == (p == "prompt"), F.col(c)), F.lit(0)) for p, c in PARTS.items()}
+    blocks = small.join(ends, "pair_id").groupBy(*keys, "parts_at").agg(*(F.sum(w).alias(f"{p}_all") for p, w in of.items()))
+    ahead = Window.partitionBy("pair_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "parts_at", *(F.coalesce(F.sum(f"{p}_all").over(ahead), F.lit(0)).alias(f"{p}_before") for p in PARTS))
+    placed = met.withColumns({f"{c}_width": width(c) for c in ("chosen", "rejected")}).join(blocks, keys)
+    inside = Window.partitionBy(*keys).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    own = {p: F.coalesce(F.when(common == (p == "prompt"), F.col(f"{c}_width")), F.lit(0)) for p, c in PARTS.items()}
+    placed = placed.select("pair_id", "turn", "chosen", "rejected", common.alias("common"), *((F.col(f"{p}_before") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"{p}_start") for p, w in own.items()))
+    said_at = F.array(*(F.struct(F.lit(p).alias("part"), F.when(F.col("common") == (p == "prompt"), F.col(c)).alias("said"), F.col(f"{p}_start").alias("start")) for p, c in PARTS.items()))
+    pieces = placed.select("pair_id", "turn", F.explode(F.filter(said_at, lambda x: x["said"].isNotNull())).alias("p")).select("pair_id", "turn", "p.part", "p.start", "p.said.role", "p.said.text")
     head = F.concat(F.lit(OPEN), F.col("role"), F.lit(AFTER_ROLE))
     pieces = pieces.select("pair_id", "part", "turn", "role", F.concat(head, F.col("text"), F.lit(CLOSE)).alias("piece"), F.length(head).cast("long").alias("head_length"), "start").withColumn("length", F.length("piece").cast("long"))
     learn = (F.col("part") != "prompt") & (F.col("role") == LEARN)
@@ -62,17 +65,31 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Turns of conversations 2 i (chosen) and 2 i + 1 (rejected) as pair i."""
-    c = F.col("conv_id").cast("long")
-    return conversations.select(F.floor(c / 2).cast("long").alias("pair_id"), F.when(F.pmod(c, F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
+def pair_answers(conversations: DataFrame) -> DataFrame:
+    """Pairs whose sides share all but their end: turns of conversation i up to its last answer, and the same with the last answer of
+    conversation i + 1 in its place, as pair i.
+
+    An answer is a turn of an assistant; of several rows of the last one's number the largest text counts. Conversations without an
+    answer, or whose successor has none, make no pair; nor do rows without conv_id or turn. Null texts are empty.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long"), "role", "text").where("pair_id is not null and turn is not null")
+    last = rows.where(F.col("role") == LEARN).groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
+    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last.text").alias("other"))
+    pairs = last.select("pair_id", F.col("last.turn").alias("last_turn")).join(other, "pair_id")
+    both = rows.join(pairs, "pair_id").where(F.col("turn") <= F.col("last_turn"))
+    ends = F.col("turn") == F.col("last_turn")
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("role").alias("role"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), F.when(ends, F.lit(LEARN)).otherwise(F.col("role")).alias("role"), F.when(ends, F.col("other")).otherwise(F.col("text")).alias("text")))
+    return both.select("pair_id", "turn", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "s.role", "s.text")
 
 
 SQL = """
-WITH t AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, ((conv_id % 2) + 2) % 2 = 0 AS is_chosen, CAST(turn AS BIGINT) AS turn,
-         {'role': replace(coalesce(role, ''), '<|', '< |'), 'text': replace(coalesce(text, ''), '<|', '< |')} AS said
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH r AS (SELECT CAST(conv_id AS BIGINT) AS pair_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT pair_id, max({'turn': turn, 'text': coalesce(text, '')}) AS last FROM r WHERE role = 'assistant' GROUP BY ALL),
+v AS (SELECT r.*, l.last.turn AS last_turn, n.last.text AS other FROM r JOIN l USING (pair_id) JOIN l n ON n.pair_id = r.pair_id + 1 WHERE r.turn <= l.last.turn),
+t AS (
+  SELECT pair_id, true AS is_chosen, turn, {'role': replace(coalesce(role, ''), '<|', '< |'), 'text': replace(coalesce(text, ''), '<|', '< |')} AS said FROM v
+  UNION ALL SELECT pair_id, false, turn, {'role': CASE WHEN turn = last_turn THEN 'assistant' ELSE replace(coalesce(role, ''), '<|', '< |') END,
+    'text': replace(coalesce(CASE WHEN turn = last_turn THEN other ELSE text END, ''), '<|', '< |')} FROM v),
 m AS (SELECT pair_id, turn, min(said) FILTER (is_chosen) AS c, min(said) FILTER (NOT is_chosen) AS r FROM t GROUP BY ALL),
 e AS (SELECT pair_id, min(turn) AS parts_at FROM m WHERE c IS DISTINCT FROM r GROUP BY ALL),
 b AS (SELECT m.*, coalesce(turn < parts_at, true) AS common FROM m LEFT JOIN e USING (pair_id)),
