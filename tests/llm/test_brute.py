@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.llm import _hashing, _shared, _tokens, ann, decontamination, language_id, near_dups, packing, queries, secret_scan, substring_dedup, training_order
+from weftline.llm import _hashing, _shared, _tokens, ann, decontamination, language_id, near_dups, packing, quality, queries, secret_scan, substring_dedup, training_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,10 +140,13 @@ def test_tokens(texts):
     from tokenizers import Tokenizer
 
     path = _tokens.default_vocabulary()
-    ours, theirs = _tokens.encoder(path), Tokenizer.from_file(path)
-    theirs.encode_special_tokens = True
-    for t in [*list(texts.values())[:60], "", " ", "  a  b\x85 c\x1c", "<|endoftext|>", "it's 12٣一\U0001f600!!", " " * 3000 + "x"]:
+    ours, plain, theirs = _tokens.encoder(path), _tokens.encoder(path, special=False), Tokenizer.from_file(path)
+    some = [*list(texts.values())[:60], "", " ", "  a  b\x85 c\x1c", "<|endoftext|>", "hello <|endoftext|> world<|endoftext|>", "it's 12\u0663\u4e00\U0001f600!!", " " * 3000 + "x", " " * 3000 + "<|endoftext|>x"]
+    for t in some:
         assert ours(t).tolist() == theirs.encode(t, add_special_tokens=False).ids
+    theirs.encode_special_tokens = True
+    for t in some:
+        assert plain(t).tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(spark, docs, texts):
@@ -191,7 +194,7 @@ def test_shards(spark, docs, texts, tmp_path):
     streams = defaultdict(dict)
     for (_, _, ids), part, local in zip(read, got["part"], got["local"], strict=True):
         streams[part][local] = ids
-    encode = _tokens.encoder(_tokens.default_vocabulary())
+    encode = _tokens.encoder(_tokens.default_vocabulary(), special=False)
     wanted = Counter(tuple(encode(t).tolist()) for t in texts.values())
     found, firsts = Counter(), {}
     for part, of in streams.items():
@@ -261,9 +264,9 @@ def test_probabilities_sum_to_one():
     keys, _, _ = language_id._grams(["abracadabra banana abab", "cab dab"], 3)
     counts = {"x": language_id._sum_by_key(keys, np.ones(len(keys), np.int64)), "y": language_id._sum_by_key(keys[:9], np.ones(9, np.int64))}
     model = language_id.build(counts, 3)
-    symbols = np.append(np.unique(keys & 4095), 4000)  # and one never seen
-    for context in (*np.unique(keys >> 12), 12345):
-        p = model.probability((context << 12) | symbols, 3)
+    symbols = np.append(np.unique(keys & 65535), 60000)  # and one never seen
+    for context in (*np.unique(keys >> 16), 12345):
+        p = model.probability((context << 16) | symbols, 3)
         assert np.allclose(p.sum(axis=0), 1, atol=1e-5)
 
 
@@ -337,6 +340,7 @@ def test_chat_equals_sql(spark, data):
     df = queries.QUERIES["op5_preference_format"](spark, data)
     theirs = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL['op5_preference_format']})").fetchall()
     assert sorted(tuple(r) for r in df.collect()) == sorted(theirs)
+    assert {r["part"] for r in df.select("part").distinct().collect()} == {"prompt", "chosen", "rejected"}
 
 
 def test_chat_stays_in_the_jvm(spark, data):
@@ -411,3 +415,100 @@ def test_sets_in_parts(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK_NODES", 3)
     monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 400)
     assert {r["doc_id"]: r["component_id"] for r in near_dups.link(spark, docs, 4).collect()} == wanted
+
+
+def test_statistics_against_plain_counts(texts):
+    some = [*list(texts.values())[:40], "", " \n ", "one", "A b A b\n\nA b c!"]
+    got = quality.statistics([t.encode() for t in some])
+    at = quality.FEATURES.index
+    for t, x in zip(some, got, strict=True):
+        words = WORD.findall(lower(t))
+        lines = [y for y in t.encode().split(b"\n") if y]
+        distinct = lambda k, w=words: len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) / (len(w) - k + 1) if len(w) >= k else 1.0
+        wanted = {"log_bytes": np.log1p(len(t.encode())), "log_words": np.log1p(len(words)), "mean_word": len(t.encode()) / max(1, len(words)), "upper_share": sum("A" <= c <= "Z" for c in t) / max(1, len(t.encode()))}
+        if words:
+            counts = Counter(words)
+            wanted |= {"distinct_words": len(counts) / len(words), "top_word_share": max(counts.values()) / len(words), "other_words": sum(n == 1 for n in counts.values()) / len(words), "distinct_pairs": distinct(2), "distinct_fives": distinct(5)}
+            wanted |= {"longest_word": max(len(w.encode()) for w in words), "distinct_lines": len(set(lines)) / len(lines), "words_per_line": len(words) / len(lines)}
+        for k, v in wanted.items():
+            assert x[at(k)] == pytest.approx(v), (k, t)
+
+
+def test_rules_as_a_column(spark, docs, data):
+    """The compiled expression gives what the ensemble gives, and the fit doesn't depend on how rows are dealt."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.train(spark, docs, labels)
+    assert model.rules
+    rows = quality.with_statistics(docs, "doc_id", "long").select(*quality.FEATURES, model.column().alias("p")).toPandas()
+    assert rows["p"].to_numpy() == pytest.approx(model.predict(rows[list(quality.FEATURES)].to_numpy()))
+    again = quality.train(spark, docs.repartition(7), labels.repartition(3))
+    assert again.bias == model.bias and again.weights == model.weights and again.rules == model.rules
+
+
+def test_scan_of_documents(spark, docs, texts):
+    """Counts, order and digest of every document's base spans by the patterns as the contract has them; offsets count code points."""
+    assign = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
+    more = {-1: "\U0001f600é token: abcdefgh1 AKIA" + "B" * 16 + " " + "0a" * 20, -2: "secret=" + "ab" * 20}
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
+    for r in secret_scan.scan(df).collect():
+        t = (texts | more)[r["doc_id"]]
+        kinds = [[m.span() for m in assign.finditer(t) if len(m[2]) >= 8], [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16], [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]]
+        written = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted((a, k, b) for k, of in enumerate(kinds) for a, b in of))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(map(len, kinds)) and r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert set(written.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def kneser_ney(counts, order, symbols):
+    """P(c | history) of one language from its n-gram counts, by the definition."""
+    by = {order: counts}
+    for n in range(order - 1, 0, -1):
+        by[n] = Counter(g[1:] for g in by[n + 1])
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (symbols + 1)
+        mine = by[n]
+        once, twice = sum(c == 1 for c in mine.values()), sum(c == 2 for c in mine.values())
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        same = [c for g, c in mine.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return (max(mine[gram] - d, 0) if gram in mine else 0) / sum(same) + d * len(same) / sum(same) * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_by_definition(spark):
+    texts = {"x": ["the cat sat on the mat", "中文字符 𠀀𠀁 the cat", "a man, a plan"], "y": ["el gato está aquí", "uno dos uno"]}
+    rows_ = [(i, t, x) for i, (x, t) in enumerate((x, t) for x, of in texts.items() for t in of)]
+    model = language_id.train(spark, spark.createDataFrame(rows_, "doc_id long, text string, lang string"))
+    grams, order = {}, language_id.ORDER
+    for x, of in texts.items():
+        c = Counter()
+        for t in of:
+            s = "\0" * (order - 1) + re.sub(" +", " ", "".join(ch if ch.isalpha() else " " for ch in t.lower()))
+            c.update(s[i - order + 1 : i + 1] for i in range(order - 1, len(s)))
+        grams[x] = c
+    symbols = len({g[-1] for c in grams.values() for g in c})
+    probability = {x: kneser_ney(c, order, symbols) for x, c in grams.items()}
+    code = lambda ch: 0 if ch == "\0" else int(language_id._fold()[ord(ch)])
+    for x, c in grams.items():
+        for g in [*c, *list(grams["x"])[:10], "zzzz", "\0\0qe"]:
+            key = np.array([sum(code(ch) << (16 * (order - 1 - i)) for i, ch in enumerate(g))], dtype=object).astype(np.uint64).view(np.int64)
+            assert model.probability(key, order)[0, model.langs.index(x)] == pytest.approx(probability[x](g), rel=1e-4), (x, g)
+
+
+def test_marks_alone_are_no_letters():
+    model = language_id.Model(["x"], 4, *([[np.zeros(0, np.int64)] * 5, [np.zeros((0, 1), np.float32)] * 5] * 2), 0.1)
+    lang, *_ = language_id.judge(model, ["\u0301\u0302", "e\u0301", "", "12 3"], None)
+    assert lang == ["und", "x", "und", "und"]
+
+
+def test_codes_within_a_radius():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2**63, 400, np.int64).astype(np.uint64)
+    codes[200:] = codes[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64))
+    blocks = decontamination.Blocks(codes)
+    for q in [*codes[:50], *rng.integers(0, 2**63, 50, np.int64).astype(np.uint64)]:
+        assert blocks.within(q).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= decontamination.RADIUS).tolist()

@@ -90,7 +90,8 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     nodes = wanted.select(F.col("node").alias("doc_id")).distinct()
     if nodes.count() <= _shared.BROADCAST_ROWS:
         docs = docs.join(F.broadcast(nodes), "doc_id", "left_semi")
-    return full_sets(docs, words).join(wanted, "node")
+    # four numbers a row: few enough are sent, so that sets move once, into their cells
+    return full_sets(docs, words).join(F.broadcast(wanted) if wanted.count() <= _shared.BROADCAST_ROWS // 4 else wanted, "node")
 
 
 def _items(cell):
@@ -149,6 +150,7 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     """
     if percent < 80:
         raise ValueError("SHARED is set for a similarity of 0.8 or more")
+    _shared.prepare(spark)
     base = _shared.table(spark, sketches(docs, words), "sketches")
     sets = base.where("n > 0 and doc_id is not null")
     firsts = _shared.table(spark, sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "firsts")
@@ -171,6 +173,34 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def representatives(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of rows linked as by link(), with all its columns: that of the smallest doc_id.
+
+    Rows whose text is null, empty or without words stay. Where a doc_id is null or repeated, each row is a document of its own: of a
+    group's rows that with the smallest doc_id stays, null after all others, ties to the row that was numbered first.
+    """
+    _shared.prepare(spark)
+    odd = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("many")).where("many > 1 or doc_id is null")
+    if odd.isEmpty():
+        gone = link(spark, docs.select("doc_id", "text"), words, percent).where("not kept").select(F.col("doc_id").alias("gone"))
+        key, rows = F.col("doc_id").cast("long"), docs
+    else:
+        name = "row"
+        while name in docs.columns:
+            name += "_"
+        rows = _shared.table(spark, docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+        found = link(spark, rows.select(F.col(name).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("at"), "component_id")
+        order = F.struct(F.col("id").isNull().alias("last"), "id", "at")
+        found = _shared.table(spark, found.join(rows.select(F.col(name).alias("at"), F.col("doc_id").cast("long").alias("id")), "at"), "grouped")
+        stays = found.groupBy("component_id").agg(F.min(order)["at"].alias("stays"))
+        gone = found.join(stays, "component_id").where("at <> stays").select(F.col("at").alias("gone"))
+        key = F.col(name)
+    gone = _shared.table(spark, gone, "gone")
+    # few enough are sent to the executors, so that no text moves
+    out = rows.join(F.broadcast(gone) if gone.count() <= _shared.BROADCAST_ROWS else gone, key == F.col("gone"), "left_anti")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def _centres(lists: DataFrame) -> DataFrame:
     """node, n, centre, centre_n: of the most central nodes of a node's lists the most central; for some that is the node itself."""
     best = lists.groupBy("value").agg(F.max_by(F.struct("central", F.col("node").alias("centre"), F.col("n").alias("centre_n")), F.struct("central", -F.col("node"))).alias("c"))

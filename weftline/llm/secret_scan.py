@@ -248,6 +248,7 @@ def scan(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans and the hash of the empty string. Repeated rows are scanned each, a null doc_id stays null,
     other columns aren't read, an empty table gives no rows.
     """
+    _shared.prepare(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -266,7 +267,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced; all rows and columns stay. ``n_chars``, if there is one, follows the text."""
+    """``docs`` with every secret in ``text`` replaced by ``[SECRET]``; all rows and columns stay.
+
+    Spans that overlap are replaced as one. A null text stays null, an empty one empty; repeated rows and rows without doc_id are
+    treated like others. ``n_chars``, if there is one, follows the text. An empty table stays empty.
+    """
+    _shared.prepare(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
