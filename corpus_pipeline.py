@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm import _shared, decontamination, language_id, near_dups, packing, secret_scan
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the doc_ids in ``gone``, a stored table; few enough are sent to the executors, so that no text moves."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"))
-    gone = F.broadcast(gone) if gone.count() <= _shared.BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-
-
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the models of their corpus don't reject; a text without letters is rejected, so null texts go."""
+    """Documents that the models of their corpus don't reject.
+
+    The models learn from all rows with a lang. A text without letters is rejected, so null and empty texts go. Rows without doc_id,
+    or that share one, are judged each by their text. An empty table, or one without any lang, gives no rows.
+    """
     _shared.prepare(spark)
     learn = docs.select("doc_id", "text", "lang")
     model = language_id.train(spark, learn)
@@ -24,30 +20,24 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingles alike to 0.8, that of the smallest doc_id; of rows that share a doc_id, one."""
-    _shared.prepare(spark)
-    named = docs.where("doc_id is not null")
-    if not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
-        docs = _shared.table(spark, named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")), "unique")
-    gone = near_dups.link(spark, docs, words=5, percent=80).where("not kept").select("doc_id")
-    return _without(docs, _shared.table(spark, gone.distinct(), "gone"))
+    """One document of each group of five-word shingles alike to 0.8, that of the smallest doc_id; near_dups.representatives() says which
+    of rows without doc_id or that share one. Texts without words stay. An empty table gives no rows."""
+    return near_dups.representatives(spark, docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontamination.contaminated(spark, docs, _shared.source(spark, sf_dir, "benchmark"))
-    return _without(docs, _shared.table(spark, found.select("doc_id").distinct(), "gone"))
+    """Documents without a benchmark passage, each row judged by its text; null and empty texts stay. An empty table gives no rows."""
+    return decontamination.clean(spark, docs, _shared.source(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced."""
-    _shared.prepare(spark)
+    """All documents, with secrets in their texts replaced; null texts stay null. An empty table gives no rows."""
     return secret_scan.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, placed in sequences."""
-    return packing.pack(_shared.prepare(spark), docs)
+    """The pieces of what is left, placed in sequences; a null text is empty and gives the end id alone, rows are packed each."""
+    return packing.pack(spark, docs)
 
 
 STAGES = [
