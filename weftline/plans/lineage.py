@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder of the session; a folder is made only where none is set."""
+    """``df`` computed once and kept in the checkpoint folder of the session; a folder is made only where none is set and all runs on this machine."""
     context = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
