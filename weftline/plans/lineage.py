@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder of the session; a folder is made only where none is set and all runs on this machine."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a folder is made only where none is set and all runs on this machine."""
+    context = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not folder and context.master.split("[")[0] != "local":
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def keep(df: DataFrame) -> str:
+    """The path of a new table in the shared folder that holds ``df``."""
+    path = f"{shared_dir(df.sparkSession)}/weftline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared folder: readers take the columns they need and know its size."""
+    return df.sparkSession.read.schema(df.schema).parquet(keep(df))
