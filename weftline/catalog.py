@@ -11,7 +11,7 @@ from weftline.functions import paths, text
 from weftline.operators import closure, coupling, evaluate, flows, graph, history, links, matrix, stats
 from weftline.plans import fixtures
 from weftline.plans.lineage import cut
-from weftline.sources import files
+from weftline.sources import definitions, dockerfiles, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -557,3 +557,148 @@ def q_run_commands(spark, d):
     pages = fixtures.table(spark, d, "pages")
     docker = F.concat(F.lit("FROM x\n# RUN no\nRUN apt-get update && \\\n    git clone "), "url", F.lit("\nENV A=b\nrun make install\n"))
     return links.run_commands(pages.select(F.col("page_id").alias("path"), docker.alias("text"))).select(F.col("path").alias("page_id"), "at", "command")
+
+
+# --- workflows that call workflows
+
+_NESTED = rf"""{_STEPS}, nc AS (SELECT 'RD\c' || o_custkey || '\all.cwl' AS cw, w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p
+  FROM orders JOIN wf ON w = 'RD\o' || o_orderkey || '\wf.cwl' WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'),
+ft AS (SELECT cw, w, p, pos, c, row_number() OVER (PARTITION BY cw ORDER BY p, pos) - 1 AS g FROM nc JOIN st USING (w)),
+fo AS (SELECT cw, w, p, min(g) AS g0, max(g) AS g1 FROM ft GROUP BY ALL),
+ar AS (SELECT cw, w, c AS own, g, g0 FROM ft JOIN fo USING (cw, w, p) UNION ALL SELECT cw, w, w, g0, g0 FROM fo),
+oc AS (SELECT cw, c AS s, g AS a FROM ft UNION ALL SELECT cw, w, g1 FROM fo),
+ls AS (SELECT ar.cw, ar.w, own, g, g0, s, max(a) AS a FROM ar JOIN oc ON ar.cw = oc.cw AND a < g AND s <> own AND s <> ar.w GROUP BY ALL)"""
+
+
+def _nested_graph(spark, d):
+    nodes, edges = graph.build(*fixtures.nested_definitions(spark, d), sep="\\")
+    return cut(nodes), cut(edges)
+
+
+@query(f"WITH {_NESTED} SELECT DISTINCT cw AS caller, w AS callee FROM nc")
+def q_nested_calls(spark, d):
+    nodes, edges = _nested_graph(spark, d)
+    return closure.call_edges(edges, nodes.where("kind = 'InParameter' and component_type = 'Workflow'").select("component_id", "node_id"))
+
+
+@query(f"""WITH {_NESTED} SELECT s AS source_id, own AS target_id, x AS context_id, CASE WHEN g - a = 1 THEN 'Sequential' ELSE 'Transitive' END AS flow_type, CAST(g - a AS INTEGER) AS distance
+  FROM (SELECT *, cw AS x FROM ls WHERE a > 0 UNION ALL SELECT *, w FROM ls WHERE a > g0 AND own <> w)
+UNION ALL SELECT cw, own, cw, 'Direct', 1 FROM ar
+UNION ALL SELECT w, c, w, 'Direct', 1 FROM (SELECT *, row_number() OVER (PARTITION BY c, pos ORDER BY cw, p) AS n FROM ft) WHERE n = 1
+UNION ALL SELECT c, cw, cw, 'Indirect', 1 FROM ft UNION ALL SELECT c, w, w, 'Indirect', 1 FROM ft UNION ALL SELECT w, cw, cw, 'Indirect', 1 FROM fo""")
+def q_nested_flows(spark, d):
+    return flows.flows(*_nested_graph(spark, d))
+
+
+@query(f"""WITH {_NESTED}, l AS (SELECT c AS component_id, x FROM ft, unnest([w, cw]) AS u(x) UNION SELECT w, x FROM fo, unnest([w, cw]) AS u(x) UNION SELECT cw, cw FROM fo)
+SELECT component_id, string_agg(x, ',' ORDER BY x) AS workflow_list FROM l GROUP BY 1""")
+def q_nested_labels(spark, d):
+    labelled = flows.label_reached(*_nested_graph(spark, d)).where("rel_type = 'DATA_FLOW' and size(workflow_list) > 0")
+    return labelled.select("component_id", F.array_join("workflow_list", ",").alias("workflow_list")).distinct()
+
+
+# --- definitions and files
+
+
+def _parsed(spark, d):
+    return definitions.tables(cut(definitions.parse(fixtures.definition_files(spark, d))))
+
+
+_TOOL_PATHS, _FLOW_PATHS = "'RD/tools/p' || p_partkey || '.cwl'", "'RD/s' || s_suppkey || '/wf.cwl'"
+
+
+@query(f"""SELECT {_TOOL_PATHS} AS path, 'CommandLineTool' AS class, 'run.py p' || p_partkey AS base_command FROM part
+UNION ALL SELECT {_FLOW_PATHS}, 'Workflow', '' FROM supplier UNION ALL SELECT {_FLOW_PATHS} || '/b', 'ExpressionTool', 'echo' FROM supplier""")
+def q_parsed_entities(spark, d):
+    return _parsed(spark, d)["entities"].select("path", "class", F.array_join("base_command", " ").alias("base_command"))
+
+
+@query(f"""SELECT {_TOOL_PATHS} AS component_id, u.* FROM part, (VALUES ('in', 'in', 'File', '', 0), ('in', 'size', 'null OR int', '', 1), ('out', 'out', '{{"items": "File", "type": "array"}}', '', 0)) AS u(direction, parameter_id, parameter_type, sources, ord)
+UNION ALL SELECT {_FLOW_PATHS} || k, u.* FROM supplier, (VALUES ('', 'in', 'x', 'File', '', 0), ('', 'out', 'res', 'File', 'b/out', 0), ('/b', 'in', 'in', 'File', '', 0), ('/b', 'out', 'out', 'File', '', 0)) AS v(k, direction, parameter_id, parameter_type, sources, ord),
+  LATERAL (SELECT v.direction, v.parameter_id, v.parameter_type, v.sources, v.ord) AS u""")
+def q_parsed_params(spark, d):
+    return _parsed(spark, d)["params"].withColumn("sources", F.array_join("sources", ","))
+
+
+@query(f"""SELECT {_FLOW_PATHS} AS workflow_id, 'a' AS step_id, 0 AS ord, 'RD/tools/p' || s_suppkey || '.cwl' AS run_path, false AS is_inline, '$(inputs.size)' AS when_expr FROM supplier
+UNION ALL SELECT {_FLOW_PATHS}, 'b', 1, {_FLOW_PATHS} || '/b', true, NULL FROM supplier""")
+def q_parsed_steps(spark, d):
+    return _parsed(spark, d)["steps"]
+
+
+@query(f"""SELECT {_FLOW_PATHS} AS workflow_id, u.* FROM supplier, (VALUES ('a', 'in', 'x', 0), ('a', 'size', 'x,x', 1), ('b', 'in', 'a/out', 0)) AS u(step_id, input_id, sources, ord)""")
+def q_parsed_step_inputs(spark, d):
+    return _parsed(spark, d)["step_inputs"].withColumn("sources", F.array_join("sources", ","))
+
+
+@query("SELECT 'RD/bad/r' || r_regionkey || '.cwl' AS path FROM region")
+def q_parse_errors(spark, d):
+    return _parsed(spark, d)["errors"].select("path")
+
+
+@query(f"""SELECT 'InParameter|' || {_TOOL_PATHS} || '|size' AS node_id, 'written twice' AS parameter_type FROM part""")
+def q_last_type_counts(spark, d):
+    found = _parsed(spark, d)
+    last = found["params"].where("parameter_id = 'size'")
+    twice = last.unionByName(last.withColumns({"parameter_type": F.lit("written twice"), "ord": F.col("ord") + 1})).unionByName(last.withColumns({"parameter_type": F.lit(None).cast("string"), "ord": F.col("ord") + 2}))
+    return graph.upserted_parameters(twice, found["entities"]).select("node_id", "parameter_type")
+
+
+@query("SELECT 'g/r' || n_regionkey || '/t' || n_nationkey || '.cwl' AS path, CASE WHEN n_regionkey % 2 = 1 THEN 'x' || n_nationkey || '.py -v' ELSE 'n' || n_nationkey END AS base_command FROM nation")
+def q_scanned_definitions(spark, d):
+    fixtures.table(spark, d, "nation")
+    found = definitions.tables(cut(definitions.parse(definitions.scan(spark, fixtures.nation_files(spark, d)))))
+    return found["entities"].select("path", F.array_join("base_command", " ").alias("base_command"))
+
+
+def _nation_links(spark, d, root):
+    listed = fixtures.table(spark, d, "nation").where("n_regionkey % 2 = 1").select(F.concat(F.lit("https://h/g/n"), "n_nationkey", F.lit(".git")).alias("repo_url"), F.concat(F.lit("x"), "n_nationkey", F.lit(".py")).alias("path"))
+    return links.of_dockerfiles(dockerfiles.read(spark, root), files.listing(listed, listed))
+
+
+@query("""SELECT 'paths' AS kind, unnest(['/opt/n' || n_nationkey || '/x' || n_nationkey || '.py', '/usr/local/bin/x' || n_nationkey || '.py']) AS key, 'https://h/g/n' || n_nationkey || '.git' AS git_url FROM nation WHERE n_regionkey % 2 = 1
+UNION ALL SELECT 'commands', 'n' || n_nationkey, 'https://h/g/n' || n_nationkey || '.git' FROM nation WHERE n_regionkey % 2 = 0""")
+def q_docker_links(spark, d):
+    return _nation_links(spark, d, fixtures.nation_files(spark, d))
+
+
+def _references(spark, d):
+    root = fixtures.nation_files(spark, d)
+    found = definitions.tables(cut(definitions.parse(definitions.scan(spark, root))))
+    commands = links.base_command_references(found["entities"], _nation_links(spark, d, root))
+    return graph.reference_graph(commands, graph.component_nodes(found["params"], found["entities"]))
+
+
+@query("SELECT 'Git|https://h/g/n' || n_nationkey || '.git' AS node_id, 'https://h/g/n' || n_nationkey || '.git' AS git_url FROM nation")
+def q_git_nodes(spark, d):
+    return _references(spark, d)[0].select("node_id", "git_url")
+
+
+@query("""SELECT 'Component|g/r' || n_regionkey || '/t' || n_nationkey || '.cwl' AS src, 'Git|https://h/g/n' || n_nationkey || '.git' AS dst, CASE WHEN n_regionkey % 2 = 1 THEN 'x' || n_nationkey || '.py -v' ELSE 'n' || n_nationkey END AS reference FROM nation""")
+def q_reference_edges(spark, d):
+    return _references(spark, d)[1].select("src", "dst", "reference")
+
+
+@query("SELECT n_regionkey AS source_id, n_nationkey AS target_id, n_name AS context_id, 'Direct' AS flow_type, CAST(1 AS INTEGER) AS distance FROM nation")
+def q_flow_files(spark, d):
+    nation = fixtures.table(spark, d, "nation").select(F.col("n_regionkey").alias("source_id"), F.col("n_nationkey").alias("target_id"), F.col("n_name").alias("context_id"), F.lit("Direct").alias("flow_type"), F.lit(1).alias("distance"))
+    entries = F.transform("entries", lambda e: F.array(e["context_id"], e["flow_type"], e["distance"].cast("string")))
+    by_target = nation.groupBy(F.col("source_id").cast("string"), F.col("target_id").cast("string")).agg(F.collect_list(F.struct("context_id", "flow_type", "distance")).alias("entries")).select("source_id", "target_id", entries.alias("entries"))
+    by_source = by_target.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("target_id", "entries"))).alias("targets"))
+    text = by_source.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source_id", "targets"))))).first()[0]  # of 25 nations
+    found = files.read_flows(spark, fixtures.write_files(spark, [("flows.json", text)]))
+    return found.withColumns({"source_id": F.col("source_id").cast("int"), "target_id": F.col("target_id").cast("int")})
+
+
+@query("SELECT 'c' || n_nationkey AS id, 'a' || n_nationkey || '.cwl,r' || n_regionkey || '.cwl' AS changed_files FROM nation")
+def q_commit_files(spark, d):
+    commits = fixtures.table(spark, d, "nation").select(F.concat(F.lit("c"), "n_nationkey").alias("id"), F.array(F.concat(F.lit("a"), "n_nationkey", F.lit(".cwl")), F.concat(F.lit("r"), "n_regionkey", F.lit(".cwl"))).alias("changed_files"))
+    text = commits.agg(F.to_json(F.collect_list(F.struct("id", "changed_files")))).first()[0]  # of 25 nations
+    found = files.read_commits(spark, fixtures.write_files(spark, [("commits.json", text)]))
+    return found.select("id", F.array_join("changed_files", ",").alias("changed_files"))
+
+
+@query(r"SELECT page_id, regexp_replace(replace(url, regexp_extract(url, '^[a-z]+://[^/]+'), ''), '^/+', '') AS path FROM pages")
+def q_project_path(spark, d):
+    pages = fixtures.table(spark, d, "pages")
+    return pages.select("page_id", paths.project_path(F.col("url"), F.regexp_extract("url", "^[a-z]+://[^/]+", 0)).alias("path"))

@@ -75,7 +75,7 @@ def repo_name(url: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1), r"\.git$", "")
 
 
-def project_path(url: Column, host: str) -> Column:
+def project_path(url: Column, host: Column | str) -> Column:
     """The project's path on its host."""
     return F.regexp_replace(F.replace(url, F.lit(host), F.lit("")), "^/+", "")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.paths import stem
 from weftline.functions.text import expression_references
+from weftline.plans.ranking import below
 
 EDGE_KEY = ["rel_type", "src", "dst", "component_id", "step_id", "data_id"]
 
@@ -181,11 +182,11 @@ def outer_outputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def sizes(nodes: DataFrame, edges: DataFrame, prefixes: DataFrame) -> DataFrame:
     """repo, node_count, edge_count by raw prefix, and ``total`` for their sum."""
-    p = F.broadcast(prefixes.select("repo"))
-    n = nodes.join(p, F.startswith("component_id", "repo")).select("repo", F.lit(1).alias("n"), F.lit(0).alias("e"))
-    e = edges.join(p, F.startswith("component_id", "repo")).select("repo", F.lit(0).alias("n"), F.lit(1).alias("e"))
-    none = prefixes.select("repo", F.lit(0).alias("n"), F.lit(0).alias("e"))
-    counted = n.unionByName(e).unionByName(none).rollup("repo").agg(F.sum("n").alias("node_count"), F.sum("e").alias("edge_count"))
+    p = prefixes.select("repo")
+    both = nodes.select("component_id", F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(edges.select("component_id", F.lit(0).alias("n"), F.lit(1).alias("e")))
+    found = below(both.groupBy("component_id").agg(F.sum("n").alias("n"), F.sum("e").alias("e")), p, "component_id", "repo").select("repo", "n", "e")
+    none = p.select("repo", F.lit(0).alias("n"), F.lit(0).alias("e"))
+    counted = found.unionByName(none).rollup("repo").agg(F.sum("n").alias("node_count"), F.sum("e").alias("edge_count"))
     return counted.select(F.coalesce("repo", F.lit("total")).alias("repo"), "node_count", "edge_count")
 
 

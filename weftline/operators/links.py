@@ -12,6 +12,10 @@ from weftline.functions.text import has_word
 from weftline.plans.lineage import cut
 
 
+#: Characters of a command that lead it to the keys that may contain it.
+GRAM = 8
+
+
 def run_commands(files: DataFrame) -> DataFrame:
     """path, at, command: the parts between ``&&`` of every RUN instruction of Dockerfiles (path, text), in order."""
     joined = F.regexp_replace("text", r"\\[ \t]*\r?\n", " ")
@@ -31,13 +35,13 @@ def moves(commands: DataFrame) -> DataFrame:
     return commands.where(paths.is_link(c)).withColumn("from_path", paths.link_source(c)).withColumn("to_path", paths.link_target(c)).where("from_path is not null and to_path is not null")
 
 
-def follow_moves(known: DataFrame, linked: DataFrame, most: int = 100) -> DataFrame:
+def follow_moves(known: DataFrame, linked: DataFrame) -> DataFrame:
     """kind, key, git_url of ``known`` (key, git_url) and of every path that links (at, from_path, to_path), made in order, lead to.
 
-    A link carries over what its source is at that time, so chains go along rising ``at``; the last link to a path counts.
+    A link carries over what its source is at that time, so chains go along rising ``at`` and end; the last link to a path counts.
     """
     reached = frontier = cut(known.select("key", "git_url", F.lit(-1).alias("at")))
-    for _ in range(most):
+    while True:
         met = frontier.withColumnRenamed("at", "since").join(linked, F.col("key") == F.col("from_path")).where("at > since")
         frontier = cut(met.select(F.col("to_path").alias("key"), "git_url", "at").distinct())
         if frontier.isEmpty():
@@ -71,14 +75,27 @@ def exact(commands: DataFrame, links: DataFrame, name: str = "command") -> DataF
 
 
 def containing(commands: DataFrame, links: DataFrame, name: str = "command") -> DataFrame:
-    """For each command the first link, by key, whose key contains it."""
-    met = commands.join(F.broadcast(links.select("key", "git_url")), F.contains("key", name))
-    return _first(met, commands.columns)
+    """For each command the first link, by key, whose key contains it.
+
+    They meet by the command's first GRAM characters, or all of a shorter one, which are among the key's runs of as many.
+    """
+    asked = commands.withColumn("_gram", F.substring(name, 1, GRAM))
+    sizes = asked.agg(F.collect_set(F.length("_gram")).alias("sizes"))  # one row of GRAM + 1 numbers at most
+    runs = F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.substring("key", i, n))))
+    keys = links.select("key", "git_url").crossJoin(F.broadcast(sizes)).select("key", "git_url", F.explode(F.array_distinct(runs)).alias("_gram"))
+    return _first(asked.join(keys, "_gram").where(F.contains("key", name)).drop("_gram"), commands.columns)
 
 
 def mentioned(scripts: DataFrame, links: DataFrame, text: str = "text") -> DataFrame:
-    """For each script the links whose key stands in it as a word."""
-    return scripts.join(F.broadcast(links.select("key", "git_url")), has_word(F.col(text), F.col("key")))
+    """For each script the links whose key stands in it as a word.
+
+    They meet by the key's first run of letters and digits, which is a whole run of the script too. A key without any stands between
+    two runs, so it meets every script.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(\w+)"), 1)
+    keys = links.select("key", "git_url", F.coalesce(F.get(words("key"), 0), F.lit("")).alias("_word"))
+    asked = scripts.withColumn("_word", F.explode(F.array_distinct(F.array_append(words(F.col(text)), F.lit("")))))
+    return asked.join(keys, "_word").where(has_word(F.col(text), F.col("key"))).drop("_word")
 
 
 def base_command_references(entities: DataFrame, links: DataFrame) -> DataFrame:

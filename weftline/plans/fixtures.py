@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import cut, shared_dir
 from weftline.shipping import ship
 
 
@@ -76,3 +78,72 @@ def call_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = df.select(a.alias("caller"), b.alias("callee"))
         out = one if out is None else out.unionByName(one)
     return out.distinct()
+
+
+def nested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """caller, callee, at: each customer is a workflow that calls the workflows of their urgent pending orders, in their order."""
+    wanted = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    made = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o_orderkey"))
+    place = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    numbered = wanted.join(made, "o_orderkey", "left_semi").select("o_custkey", "o_orderkey", (F.row_number().over(place) - 1).alias("at"))
+    return numbered.select(F.concat(F.lit("RD\\c"), "o_custkey", F.lit("\\all.cwl")).alias("caller"), order_path("o_orderkey").alias("callee"), "at")
+
+
+def nested_definitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """As definitions(), for the orders that nested_calls() names and the customers that call them, each from ``x`` to ``res``."""
+    strings, calls = "array<string>", cut(nested_calls(spark, sf_dir))
+    entities, params, steps, inputs = definitions(spark, sf_dir)
+    inner = calls.select("callee").distinct()
+    tools = entities.where("class <> 'Workflow'")
+    of = lambda df, c: df.join(inner, F.col(c) == F.col("callee"), "left_semi")
+    wholes = calls.groupBy("caller").agg(F.max("at").alias("last"))
+    callers = wholes.select(F.col("caller").alias("path"), F.lit("Workflow").alias("class"), F.array().cast(strings).alias("base_command"), F.array().cast("array<struct<entryname:string,entry:string>>").alias("listing"))
+    ends = lambda way, name, sources: wholes.select(F.col("caller").alias("component_id"), F.lit(way).alias("direction"), F.lit(name).alias("parameter_id"), F.lit("File").alias("parameter_type"), sources.cast(strings).alias("sources"), F.lit(0).alias("ord"))
+    step = F.concat(F.lit("n"), F.col("at").cast("string"))
+    calling = calls.select(F.col("caller").alias("workflow_id"), step.alias("step_id"), F.col("at").alias("ord"), F.col("callee").alias("run_path"), F.lit(False).alias("is_inline"), F.lit(None).cast("string").alias("when_expr"))
+    source = F.when(F.col("at") == 0, F.lit("x")).otherwise(F.concat(F.lit("n"), (F.col("at") - 1).cast("string"), F.lit("/res")))
+    given = calls.select(F.col("caller").alias("workflow_id"), step.alias("step_id"), F.lit("x").alias("input_id"), F.array(source).alias("sources"), F.lit(0).alias("ord"))
+    of_tools = params.join(tools.select(F.col("path").alias("component_id")), "component_id", "left_semi")
+    return (
+        tools.unionByName(of(entities, "path")).unionByName(callers),
+        of_tools.unionByName(of(params, "component_id")).unionByName(ends("in", "x", F.array())).unionByName(ends("out", "res", F.array(F.concat(F.lit("n"), "last", F.lit("/res"))))),
+        of(steps, "workflow_id").withColumn("when_expr", F.lit(None).cast("string")).unionByName(calling),
+        of(inputs, "workflow_id").unionByName(given),
+    )
+
+
+def definition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a tool of each part; a workflow of each supplier, with a step that calls a part and one defined in place; and what is no mapping."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    tool = F.concat(F.lit("class: CommandLineTool\nbaseCommand: [run.py, p"), "p_partkey", F.lit("]\ninputs:\n  in: File\n  size: {type: ['null', int]}\noutputs:\n- {id: out, type: {type: array, items: File}}\n"))
+    calls = F.concat(
+        F.lit("class: Workflow\ninputs:\n- {id: x, type: File}\noutputs:\n  res: {type: File, outputSource: b/out}\nsteps:\n- id: a\n  run: ../tools/./p"), "s_suppkey",
+        F.lit(".cwl\n  in: [{id: in, source: x}, {id: size, source: [x, x]}]\n  when: $(inputs.size)\n- id: b\n  run: {class: ExpressionTool, inputs: {in: File}, outputs: {out: File}, baseCommand: echo}\n  in: {in: a/out}\n"),
+    )
+    rows = part.select(F.concat(F.lit("RD/tools/p"), "p_partkey", F.lit(".cwl")).alias("path"), tool.alias("content"))
+    rows = rows.unionByName(supplier.select(F.concat(F.lit("RD/s"), "s_suppkey", F.lit("/wf.cwl")).alias("path"), calls.alias("content")))
+    rows = rows.unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("RD/bad/r"), "r_regionkey", F.lit(".cwl")).alias("path"), F.concat(F.lit("- "), "r_name").alias("content")))
+    return rows.select("path", F.encode("content", "UTF-8").alias("content"))
+
+
+def write_files(spark: SparkSession, files: list[tuple[str, str]]) -> str:
+    """A new folder below the shared one with the given (path, text) files, written through Spark's file systems."""
+    root = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, text in files:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(conf).create(path)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return root
+
+
+def nation_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a tool and a Dockerfile for each nation; there are 25 whatever the scale."""
+    files = []
+    for k, r in sorted((n["n_nationkey"], n["n_regionkey"]) for n in table(spark, sf_dir, "nation").collect()):
+        command = f"[x{k}.py, -v]" if r % 2 else f"[n{k}]"
+        files.append((f"g/r{r}/t{k}.cwl", f"class: CommandLineTool\nbaseCommand: {command}\ninputs: {{in: File}}\noutputs: {{out: File}}\n"))
+        clone = f"git clone https://h/g/n{k}.git /opt/n{k} && ln -s /opt/n{k}/x{k}.py /usr/local/bin/x{k}.py" if r % 2 else f"git clone --no-checkout https://h/g/n{k}.git"
+        files.append((f"g/r{r}/n{k}/Dockerfile", f"FROM base\nRUN apt update && \\\n  {clone}\n"))
+    return write_files(spark, files)

@@ -50,9 +50,9 @@ def scores_json(scores: DataFrame) -> DataFrame:
 
 def repositories(projects: DataFrame, wanted: DataFrame, on: str = "path_with_namespace") -> DataFrame:
     """The listed projects that are wanted."""
-    return projects.join(F.broadcast(wanted.select(on).distinct()), on, "left_semi")
+    return projects.join(wanted.select(on).distinct(), on, "left_semi")
 
 
 def listing(repo_files: DataFrame, repos: DataFrame) -> DataFrame:
     """repo_url, path of repositories; those without a listing have no rows."""
-    return repo_files.join(F.broadcast(repos.select("repo_url").distinct()), "repo_url", "left_semi")
+    return repo_files.join(repos.select("repo_url").distinct(), "repo_url", "left_semi")
