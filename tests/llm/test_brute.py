@@ -510,5 +510,8 @@ def test_codes_within_a_radius():
     codes = rng.integers(0, 2**63, 400, np.int64).astype(np.uint64)
     codes[200:] = codes[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64))
     blocks = decontamination.Blocks(codes)
-    for q in [*codes[:50], *rng.integers(0, 2**63, 50, np.int64).astype(np.uint64)]:
-        assert blocks.within(q).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= decontamination.RADIUS).tolist()
+    asked = np.concatenate([codes[:50], rng.integers(0, 2**63, 50, np.int64).astype(np.uint64)])
+    who, item = blocks.within(asked)
+    wanted = np.nonzero(np.bitwise_count(codes[None, :] ^ asked[:, None]) <= decontamination.RADIUS)
+    assert who.tolist() == wanted[0].tolist() and item.tolist() == wanted[1].tolist()
+    assert [x.tolist() for x in blocks.within(asked[:0])] == [[], []]

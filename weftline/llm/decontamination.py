@@ -10,7 +10,7 @@ verified by the exact weighted Jaccard similarity of the shingles, weighted by h
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 23
 #: Bytes of benchmark text that one pass over the documents sends to the executors; a larger benchmark takes more passes.
 BLOCK_BYTES = 32 << 20
-_NEAR = [np.flatnonzero(x) for x in np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS]
+#: What a block's value is probed with: all bytes of RADIUS // BLOCKS bits at most.
+_MASKS = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS).astype(np.uint8)
 _BATCH = 1 << 22
 
 
@@ -50,21 +51,22 @@ class Blocks:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         parts = codes.view(np.uint8).reshape(-1, BLOCKS)
-        self.lists = [np.argsort(parts[:, j], kind="stable").astype(np.int32) for j in range(BLOCKS)]
-        self.starts = [np.searchsorted(parts[o, j], np.arange(257)) for j, o in enumerate(self.lists)]
-
-    def within(self, code: np.uint64) -> np.ndarray:
-        """The items within RADIUS bits of ``code``, ascending: every one of them differs in RADIUS // BLOCKS bits at most in some block."""
-        probed = [of[starts[v] : starts[v + 1]] for byte, of, starts in zip(np.array([code]).view(np.uint8), self.lists, self.starts, strict=True) for v in _NEAR[byte]]
-        found = np.unique(np.concatenate(probed))
-        return found[np.bitwise_count(self.codes[found] ^ code) <= RADIUS]
-
-
-def _weighted(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two bags of shingles."""
-    keys, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = np.bincount(both[: len(a)], minlength=len(keys)), np.bincount(both[len(a) :], minlength=len(keys))
-    return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+        orders = [np.argsort(parts[:, j], kind="stable") for j in range(BLOCKS)]
+        self.items = np.concatenate(orders).astype(np.int32)
+        self.first = np.stack([j * len(codes) + np.searchsorted(parts[o, j], np.arange(257)) for j, o in enumerate(orders)])
+
+    def within(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``codes``, item) of all pairs within RADIUS bits, in order: each differs in RADIUS // BLOCKS bits at most in some block."""
+        values = codes.view(np.uint8).reshape(-1, BLOCKS, 1) ^ _MASKS
+        block = np.arange(BLOCKS)[:, None]
+        low = self.first[block, values].reshape(-1)
+        many = self.first[block, values.astype(np.int64) + 1].reshape(-1) - low
+        who = np.repeat(np.arange(len(many)) // (BLOCKS * len(_MASKS)), many)
+        item = self.items[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        pair = np.unique(who * len(self.codes) + item)
+        who, item = pair // len(self.codes), pair % len(self.codes)
+        near = np.bitwise_count(codes[who] ^ self.codes[item]) <= RADIUS
+        return who[near], item[near]
 
 
 class Index:
@@ -90,7 +92,7 @@ class Index:
                 self.short[m] = (np.array(sorted(table), np.uint64), dict(table))
             else:
                 codes = fingerprints(shingles, first[[i for _, i in of]], m - SHINGLE + 1)
-                self.long[m] = ([item for item, _ in of], Blocks(codes), [shingles[first[i] : first[i + 1]] for _, i in of])
+                self.long[m] = ([item for item, _ in of], Blocks(codes), [Counter(shingles[first[i] : first[i + 1]].tolist()) for _, i in of])
 
     def matches(self, words: np.ndarray, shingles: np.ndarray, known: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of its best window in one document; ties to the earliest."""
@@ -112,14 +114,16 @@ class Index:
             # weighted Jaccard s of two bags means at least s / (1 + s) of both sizes together in common
             least = int(np.ceil((n + width) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
             starts = np.flatnonzero(sums[width:] - sums[:-width] >= least)
-            found: dict[int, np.ndarray] = {}
-            for x, code in zip(starts.tolist(), fingerprints(shingles, starts, width), strict=True):
-                if int(code) not in found:
-                    found[int(code)] = blocks.within(code)
-                for y in found[int(code)].tolist():
-                    s = _weighted(shingles[x : x + width], bags[y])
+            step = max(1, _BATCH // (BLOCKS * len(_MASKS)) // max(1, len(items) // 256))
+            for a in range(0, len(starts), step):
+                some, last, window = starts[a : a + step], -1, None
+                for i, y in zip(*(x.tolist() for x in blocks.within(fingerprints(shingles, some, width))), strict=True):
+                    if i != last:
+                        last, window = i, Counter(shingles[some[i] : some[i] + width].tolist())
+                    shared = (window & bags[y]).total()
+                    s = shared / (n + width - shared)
                     if s >= SIMILARITY and s > best.get(items[y], (0.0,))[0]:
-                        best[items[y]] = (s, x, width + SHINGLE - 1)
+                        best[items[y]] = (s, int(some[i]), width + SHINGLE - 1)
         return best
 
 
