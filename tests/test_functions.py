@@ -3,12 +3,9 @@
 import math
 
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import paths, text
-from weftline.operators.flows import ends_with
 
 
 def one(spark, expression):
@@ -55,12 +52,6 @@ def test_suffix(spark):
     for inner, outer, wanted in ((["S", "A"], ["W", "S", "A"], True), (["W"], ["W", "S"], False), ([], ["x"], False), ([], [], True), (["a", "b"], ["b"], False)):
         a, b = (F.array(*map(F.lit, x)).cast("array<string>") for x in (inner, outer))
         assert one(spark, text.suffix_of(a, b)) is wanted
-        assert ends_with(tuple(inner), tuple(outer)) is wanted
-
-
-@given(st.lists(st.sampled_from("ab"), max_size=4), st.lists(st.sampled_from("ab"), max_size=4))
-def test_ends_with(inner, outer):
-    assert ends_with(tuple(inner), tuple(outer)) == (tuple(outer[len(outer) - len(inner) :]) == tuple(inner) and len(inner) <= len(outer) if inner else not outer)
 
 
 def test_erfc(spark):
