@@ -183,6 +183,24 @@ def test_permutation(n, key):
     assert (training_order.permute(p, n, key, inverse=True) == np.arange(n)).all()
 
 
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=9), st.integers(0, 2**62))
+@settings(max_examples=50, deadline=None)
+def test_order(counts, key):
+    order, n = training_order.Order(np.array(counts), key), sum(counts)
+    part, local = np.repeat(np.arange(len(counts)), counts), np.concatenate([np.arange(c) for c in counts]).astype(np.int64)
+    slots = order.slots(part, local)
+    assert sorted(slots.tolist()) == list(range(n))
+    back = order.sequences(slots)
+    assert (back[0] == part).all() and (back[1] == local).all()
+
+
+def test_order_is_spread():
+    order = training_order.Order(np.array([4000, 1000, 10, 0]), 5)
+    slots = order.slots(np.zeros(4000, np.int64), np.arange(4000))
+    assert abs(np.corrcoef(slots, np.arange(4000))[0, 1]) < 0.1
+    assert (np.abs(np.bincount(slots // 501, minlength=10) - 400) < 80).all()
+
+
 def test_shards(spark, docs, texts, tmp_path):
     d = docs.repartition(3, "doc_id")
     got = training_order.write_shards(spark, d, str(tmp_path / "s"), 9, length=256, shard=64).toPandas().sort_values("slot")
@@ -190,6 +208,8 @@ def test_shards(spark, docs, texts, tmp_path):
     read = list(training_order.read_slots(spark, str(tmp_path / "s"), 0, n + 10, length=256, shard=64))
     assert [r[0] for r in read] == list(range(n)) and [zlib.crc32(r[2]) for r in read] == got["ids_crc32"].tolist()
     assert [r[0] for r in training_order.read_slots(spark, str(tmp_path / "s"), 70, 150, length=256, shard=64)] == list(range(70, 150))
+    counts = np.bincount(got["part"], minlength=got["parts"].iloc[0])
+    assert training_order.Order(counts, 9).slots(got["part"], got["local"]).tolist() == list(range(n))
     assert (got["shard"] == got["slot"] // 64).all() and (got["record"] == got["slot"] % 64).all()
     streams = defaultdict(dict)
     for (_, _, ids), part, local in zip(read, got["part"], got["local"], strict=True):

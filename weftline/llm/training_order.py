@@ -1,13 +1,16 @@
 """Training-order materialisation: token sequences in shards of fixed stride, in the order of a keyed permutation.
 
-Each scan partition joins its documents' ids, each ended by ``end_id``, and cuts them into sequences of L ids. Sequence i of
-partition p of P has the number i * P + p, below P * 2**32. A keyed Feistel network over the least even number of bits that holds that
-domain, walked along its cycle until it falls inside, permutes the numbers; the global slot of a sequence is its rank by permuted
-number. The permuted numbers spread evenly, so equal ranges of them are even partitions, and their counts shift local ranks to slots.
+Each scan partition joins its documents' ids, each ended by ``end_id``, and cuts them into sequences of L ids. The sequences that one
+of P partitions cuts go to P ranges of slots: of every P successive ones each range gets one, by a keyed permutation of 0..P-1 that
+every such group has of its own. A range's sequences, in the order of their partition and place, are then permuted as a whole,
+and the ranges follow each other. Both steps are a Feistel network over the least even number of bits that holds the numbers, walked
+along its cycle until it falls inside; ``Order`` takes both forwards and backwards from the partitions' counts of sequences
+and the key alone. Ranges differ by P sequences at most, however uneven the partitions are.
+
 Every slot is written as a record of one stride, so slot s lies in shard s // S at byte (s % S) * stride: a reader can start
-anywhere and go on sequentially. A shard that two partitions share has two files, in the order of their numbers.
+anywhere and go on sequentially. A shard that two ranges share has two files, in the order of their numbers.
 
-Numbering needs no count beforehand, so the texts are tokenised once and the ids are moved once: the shuffle that the counting job
+The ranges need no count beforehand, so the texts are tokenised once and the ids are moved once: the shuffle that the counting job
 makes is what the writing job reads (an RDD, since two jobs on one DataFrame would each make their own).
 
 Record, little-endian: slot u64, sequence u64, ids in it u32, CRC-32 of those ids as u16 u32, L ids of u16 (zeros after the
@@ -19,6 +22,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -47,20 +52,83 @@ def _network(x: np.ndarray, half: int, keys: list[int], inverse: bool) -> np.nda
     return (left << np.uint64(half)) | right
 
 
-def permute(x, n: int, key: int, inverse: bool = False) -> np.ndarray:
-    """The place of each number below n under the permutation of 0..n-1 that key names, or the number at a place."""
-    x = np.asarray(x, np.uint64).copy()
+def _key(key: int, *numbers) -> np.ndarray:
+    """The key that belongs to numbers, each an array or one for all."""
+    found = np.atleast_1d(np.asarray(key, np.uint64))
+    for x in numbers:
+        found = mix(found + np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return found
+
+
+def permute(x, n: int, key, inverse: bool = False) -> np.ndarray:
+    """The place of each number below n under the permutation of 0..n-1 that key names, or the number at a place. Each may have a key."""
+    x = np.array(x, np.uint64)
     if n <= 1:
         return x.astype(np.int64)
     half = max(1, ((n - 1).bit_length() + 1) // 2)
-    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)).tolist()
+    keys = np.broadcast_to(np.stack([_key(key, r) for r in range(ROUNDS)]), (ROUNDS, len(x)))
     todo = np.ones(len(x), bool)
-    while todo.any():  # less than a quarter of the domain lies below n in no case, so this ends after a few steps
-        x[todo] = _network(x[todo], half, keys, inverse)
+    while todo.any():  # at least a quarter of the domain lies below n, so this ends after a few steps
+        x[todo] = _network(x[todo], half, keys[:, todo], inverse)
         todo = x >= n
     return x.astype(np.int64)
 
 
+def _range(part, local, parts: int, key: int) -> np.ndarray:
+    """The range that each sequence goes to: groups of ``parts`` successive ones are permuted."""
+    group, place = np.divmod(np.asarray(local, np.int64), parts)
+    return permute(place, parts, _key(key, part, group))
+
+
+def _order(sequences: list, r: int, key: int) -> tuple[list[int], np.ndarray]:
+    """The range's sequences (part, local, ..) in their order: where each is in the list, and the places that they have."""
+    by = sorted(range(len(sequences)), key=lambda i: sequences[i][:2])
+    return by, permute(np.arange(len(by)), len(by), _key(key, r))
+
+
+@dataclass
+class Order:
+    """Slots of sequences and sequences of slots, by how many sequences each part has. Takes parts x parts steps once, then parts for each range asked."""
+
+    counts: np.ndarray
+    key: int
+
+    def _held(self, r: int) -> np.ndarray:
+        """How many of its sequences each part has in a range."""
+        counts = np.asarray(self.counts, np.int64)
+        n = len(counts)
+        groups, left = np.divmod(counts, n)
+        return groups + (permute(np.full(n, r), n, _key(self.key, np.arange(n), groups), inverse=True) < left)
+
+    @cached_property
+    def _starts(self) -> np.ndarray:
+        return np.cumsum([0, *(int(self._held(r).sum()) for r in range(len(self.counts)))])
+
+    def slots(self, part, local) -> np.ndarray:
+        part, local = np.asarray(part, np.int64), np.asarray(local, np.int64)
+        ranges, out = _range(part, local, len(self.counts), self.key), np.empty(len(part), np.int64)
+        for r in np.unique(ranges).tolist():
+            of = ranges == r
+            before = np.cumsum(self._held(r)) - self._held(r)
+            place = before[part[of]] + local[of] // len(self.counts)
+            out[of] = self._starts[r] + permute(place, int(self._starts[r + 1] - self._starts[r]), _key(self.key, r))
+        return out
+
+    def sequences(self, slots) -> tuple[np.ndarray, np.ndarray]:
+        """(part, local) of each slot."""
+        slots, n = np.asarray(slots, np.int64), len(self.counts)
+        ranges = np.searchsorted(self._starts, slots, "right") - 1
+        part, local = np.empty(len(slots), np.int64), np.empty(len(slots), np.int64)
+        for r in np.unique(ranges).tolist():
+            of = ranges == r
+            place = permute(slots[of] - self._starts[r], int(self._starts[r + 1] - self._starts[r]), _key(self.key, r), inverse=True)
+            ends = np.cumsum(self._held(r))
+            part[of] = np.searchsorted(ends, place, "right")
+            group = place - (ends - self._held(r))[part[of]]
+            local[of] = group * n + permute(np.full(len(group), r), n, _key(self.key, part[of], group), inverse=True)
+        return part, local
+
+
 def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> DataFrame:
     """part, local, doc_id, doc_start (ids of that document before the sequence), n_ids, ids_crc32, ends (of documents in it), body (the ids, packed)."""
 
@@ -107,39 +175,36 @@ def _sequences(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> Da
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, key: int, vocabulary: str | None = None, end_id: int = 50256, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Writes the shards below ``path`` and returns one row per sequence, by where it went.
 
-    slot, shard, record (its number in the shard), part and local (where the sequence was cut), n_ids, ids_crc32, doc_id and
-    doc_start: whose id comes first and how many ids of that document precede it. Null texts are empty: they give ``end_id`` alone.
+    slot, shard, record (its number in the shard), part and local (where the sequence was cut), parts (how many there are), n_ids,
+    ids_crc32, doc_id and doc_start: whose id comes first and how many ids of that document precede it. The order depends on the key
+    and on how the input is partitioned. Null texts are empty: they give ``end_id`` alone.
     Repeated rows are written each, a null doc_id stays null, other columns aren't read. An empty table gives no shard. ids must
     be below 65536. A special token's string in a text is ordinary text, so that only ends of documents have ``end_id``.
     """
     _shared.prepare(spark)
     rows = _sequences(docs, vocabulary or _tokens.default_vocabulary(), end_id, length).rdd
     parts = max(1, rows.getNumPartitions())
-    domain = parts << 32
 
-    def keyed(of):
-        of = list(of)
-        places = permute(np.asarray([r[1] * parts + r[0] for r in of], np.uint64), domain, key).tolist()
-        return ((p, tuple(r)) for p, r in zip(places, of, strict=True))
+    def ranged(batch):
+        to = _range([r[0] for r in batch], [r[1] for r in batch], parts, key).tolist()
+        return ((t, tuple(r)) for t, r in zip(to, batch, strict=True))
 
     def in_batches(of):
         batch = []
         for r in of:
             batch.append(r)
             if len(batch) == 4096:
-                yield from keyed(batch)
+                yield from ranged(batch)
                 batch = []
-        yield from keyed(batch)
-
-    ranges = rows.mapPartitions(in_batches).partitionBy(parts, lambda place: place * parts // domain)
-    index = _shared.table(
-        spark,
-        spark.createDataFrame(
-            ranges.mapPartitionsWithIndex(lambda r, of: ((r, i, *x) for i, (_, x) in enumerate(sorted(((p, x[:7]) for p, x in of), key=lambda y: y[0])))),
-            "range long, rank long, part long, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long, ends long",
-        ),
-        "sequences",
-    )
+        yield from ranged(batch)
+
+    def placed(r, of):
+        of = [x[:7] for _, x in of]
+        by, places = _order(of, r, key)
+        return ((r, p, *of[i]) for i, p in zip(by, places.tolist(), strict=True))
+
+    ranges = rows.mapPartitions(in_batches).partitionBy(parts, lambda r: r)
+    index = _shared.table(spark, spark.createDataFrame(ranges.mapPartitionsWithIndex(placed), "range long, place long, part long, local long, doc_id long, doc_start long, n_ids long, ids_crc32 long, ends long"), "sequences")
     shifts, total = {}, 0
     for r, n in sorted((x[0], x[1]) for x in index.groupBy("range").agg(F.count(F.lit(1))).collect()):  # a row per partition
         shifts[r] = total
@@ -153,7 +218,10 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, key: int, voca
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for slot, (_, (part, local, _, _, n, crc, _, body)) in enumerate(sorted(of, key=lambda y: y[0]), shifts.get(r, 0)):
+        of = [x for _, x in of]
+        by, places = _order(of, r, key)
+        for slot, i in enumerate(np.asarray(by, np.int64)[np.argsort(places)].tolist(), shifts.get(r, 0)):
+            part, local, _, _, n, crc, _, body = of[i]
             ids = unpack(body)
             if len(ids) != 2 * n or zlib.crc32(ids) != crc:
                 raise ValueError(f"sequence {local} of partition {part} changed on its way")
@@ -163,8 +231,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, key: int, voca
         lines = spark.createDataFrame(ranges.mapPartitionsWithIndex(records), "shard long, value binary").select("shard", F.col("value").cast("string").alias("value"))
         lines.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").mode("overwrite").text(path)
     moved = spark.createDataFrame(list(shifts.items()), "range long, shift long")
-    out = index.join(F.broadcast(moved), "range").withColumn("slot", F.col("rank") + F.col("shift"))
-    return out.select("slot", F.floor(F.col("slot") / shard).cast("long").alias("shard"), (F.col("slot") % shard).alias("record"), "part", "local", "n_ids", "ids_crc32", "doc_id", "doc_start")
+    out = index.join(F.broadcast(moved), "range").withColumn("slot", F.col("place") + F.col("shift"))
+    return out.select("slot", F.floor(F.col("slot") / shard).cast("long").alias("shard"), (F.col("slot") % shard).alias("record"), "part", "local", F.lit(parts).cast("long").alias("parts"), "n_ids", "ids_crc32", "doc_id", "doc_start")
 
 
 def read_slots(spark: SparkSession, path: str, start: int, stop: int, length: int = LENGTH, shard: int = SHARD):
