@@ -33,7 +33,7 @@ class Analysis:
         return coupling.coupling(self.component_ids, cut(self.flows()), sep)
 
     def scores(self, sep: str = "/") -> DataFrame:
-        return coupling.cumulative(self.coupling(sep), self.component_ids, sep)
+        return coupling.cumulative(coupling.compared(self.component_ids, cut(self.flows()), sep)[1], self.component_ids, sep)
 
     def sizes(self, sep: str = "/") -> DataFrame:
         repos = self.nodes.select(repo_key(F.col("component_id"), 2, sep).alias("repo")).where("repo is not null").distinct()
