@@ -255,3 +255,17 @@ def test_files(spark, tmp_path):
     back = {(r[0], r[1]): r[2] for r in files.read_matrix(spark, str(tmp_path / "m")).collect()}
     assert back["a", "b"] == back["b", "a"] == 2.5 and back["a", "c"] == back["a", "a"] == -1 and len(back) == 9
     assert json.loads(files.scores_json(spark.createDataFrame([("r", "a", 1.5)], "repo string, file string, score double")).first()["json"]) == {"a": 1.5}
+
+
+@pytest.mark.parametrize("name,walk", [("q_flow_traversal", "flows")])
+def test_traversal_is_given_data_edges_only(spark, data, monkeypatch, name, walk):
+    """Control edges, which no traversal walks, are neither made nor kept for it."""
+    given = []
+    real = getattr(flows, walk)
+    monkeypatch.setattr(flows, walk, lambda nodes, edges: given.append((nodes, edges)) or real(nodes.limit(0), edges.limit(0)))
+    from weftline import catalog
+
+    catalog.QUERIES[name](spark, data)
+    (nodes, edges) = given[0]
+    assert {r[0] for r in edges.select("rel_type").distinct().collect()} == {"DATA_FLOW"}
+    assert set(nodes.columns) == {"node_id", "kind", "component_id", "component_type"}
